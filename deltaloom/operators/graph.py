@@ -1,0 +1,148 @@
+"""Graph operators on edge relations.  Loops stage each round: a lost executor costs a round, not the walk."""
+
+from __future__ import annotations
+
+import heapq
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from deltaloom.sources.staging import stage
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> tuple[DataFrame, bool]:
+    """(node, depth, parent) of all that is reachable from roots(node) over edges (src, dst), and whether the
+    depth cap cut it.  A node counts once, at its least depth, with its smallest parent; cycles end."""
+    seen = stage(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct(), "closure")
+    steps = stage(edges.where("src <> dst").distinct(), "closure-edges")
+    front, capped = seen, False
+    for depth in range(1, max_depth + 2):
+        found = (
+            front.select(F.col("node").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+            .join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent")
+        )
+        front = stage(found, "closure-front")
+        if front.isEmpty():
+            break
+        if depth > max_depth:
+            capped = True
+            break
+        seen = seen.unionByName(front)
+    return seen, capped
+
+
+def level_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, round): each round takes all nodes whose needs (edges node -> need) are done; if none is ready, the
+    smallest of the rest that lies on a cycle."""
+    left = stage(nodes.select("node").distinct(), "levels")
+    needs = stage(edges.where("node <> need").join(left, "node", "left_semi").join(left.withColumnRenamed("node", "need"), "need", "left_semi").distinct(), "levels-needs")
+    done: DataFrame | None = None
+    number = 0
+    while not left.isEmpty():
+        ready = left.join(needs.select("node"), "node", "left_anti")
+        if ready.isEmpty():
+            cyc = scc(needs.select(F.col("node").alias("src"), F.col("need").alias("dst")))
+            ready = cyc.select("node").orderBy("node").limit(1)
+        ready = stage(ready.select("node", F.lit(number).alias("round")), "levels-ready")
+        done = ready if done is None else done.unionByName(ready)
+        left = stage(left.join(ready, "node", "left_anti"), "levels-left")
+        needs = stage(needs.join(ready.select("node"), "node", "left_anti").join(ready.select(F.col("node").alias("need")), "need", "left_anti"), "levels-needs")
+        number += 1
+    return done if done is not None else nodes.select("node", F.lit(0).alias("round")).limit(0)
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """(node, component) of strongly connected components of two or more nodes; component: its smallest node.
+
+    Trims nodes that no cycle can hold, then colours: the smallest node spreads forward, and of those it
+    reaches, the ones that reach it back are its component; repeated on the rest.
+    """
+    live = stage(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+    out: DataFrame | None = None
+    while True:
+        while True:  # a node on a cycle has edges in and out
+            kept = stage(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+                live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-trim")
+            same = kept.count() == live.count()
+            live = kept
+            if same:
+                break
+        if live.isEmpty():
+            break
+        forward = _spread(live)
+        back = forward.alias("f").where("f.node = f.colour").select("node", "colour")
+        inside = stage(
+            live.join(forward.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src")
+            .join(forward.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour")), "scc-inside")
+        member = back
+        front = back
+        while True:
+            more = stage(
+                inside.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+                .join(member, ["node", "colour"], "left_anti"), "scc-back")
+            if more.isEmpty():
+                break
+            member = stage(member.unionByName(more), "scc-member")
+            front = more
+        found = member.join(member.groupBy("colour").count().where("count > 1").select("colour"), "colour").select("node", F.col("colour").alias("component"))
+        out = stage(found, "scc-found") if out is None else out.unionByName(stage(found, "scc-found"))
+        gone = member.select("node")
+        live = stage(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-live")
+    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches it."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    colour = stage(nodes.withColumn("colour", F.col("node")), "colour")
+    while True:
+        near = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
+        after = stage(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "colour")
+        colour = after.select("node", "colour")
+        if after.where("moved").isEmpty():
+            return colour
+
+
+def heap_order(edges: DataFrame, nodes: DataFrame, group: str = "part") -> DataFrame:
+    """(part, ord, node): in each part, always the smallest (rank, node) among the nodes whose needs are done.
+
+    nodes: part, node, rank; edges: part, node, need.  A part has to fit an executor (a release's objects);
+    nodes on a cycle come last with ord null.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        rank = dict(zip(n["node"], n["rank"]))
+        needs = {k: set() for k in rank}
+        users: dict = {k: [] for k in rank}
+        for a, b in zip(e["node"], e["need"]):
+            if a in rank and b in rank and a != b and b not in needs[a]:
+                needs[a].add(b)
+                users[b].append(a)
+        heap = [(rank[k], k) for k, v in needs.items() if not v]
+        heapq.heapify(heap)
+        out: list = []
+        while heap:
+            _, k = heapq.heappop(heap)
+            out.append(k)
+            for u in users[k]:
+                needs[u].discard(k)
+                if not needs[u]:
+                    heapq.heappush(heap, (rank[u], u))
+        rest = sorted(set(rank) - set(out))
+        return pd.DataFrame({group: [key[0]] * len(rank), "ord": pd.array([*range(1, len(out) + 1), *[None] * len(rest)], "Int64"), "node": out + rest})
+
+    part = nodes.schema[group].dataType.simpleString()
+    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, f"{group} {part}, ord long, node {kind}")
+
+
+def trim(objects: DataFrame, needs: DataFrame) -> DataFrame:
+    """Objects all of whose needs are there, to a fixpoint: (node)."""
+    kept = stage(objects.select("node").distinct(), "trim")
+    while True:
+        lacking = needs.join(kept, "node", "left_semi").join(kept.withColumnRenamed("node", "need"), "need", "left_anti").select("node").distinct()
+        lacking = stage(lacking, "trim-lacking")
+        if lacking.isEmpty():
+            return kept
+        kept = stage(kept.join(lacking, "node", "left_anti"), "trim")
