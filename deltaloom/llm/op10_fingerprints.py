@@ -1,13 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a run of at most PARAGRAPH words within a line; its digest is a 64-bit hash.  A sketch has three
-tables of cells; each digest is added to one cell of each: count, xor of digests, xor of check hashes.  Sketches
-of two versions are subtracted cell by cell; a cell with count 1 or -1 and a matching check holds one differing
-digest, which is taken out of its other cells, and so on (peeling).  An empty rest means that all differing
-digests were recovered.  If cells remain, the pair is sketched again with more cells.
-
-All is DataFrame expressions: sketches of the base size inside the row, larger ones for the pairs that need them
-as rows of cells, aggregated by (pair, cell).
+A paragraph is a run of at most PARAGRAPH words within a line; its digest is 48 bits of a hash and 16 check bits
+of those.  A sketch has three tables of cells; each digest is added to one cell of each: count and xor of digests.
+Sketches of two versions are subtracted cell by cell; a cell with count 1 or -1 and matching check bits holds one
+differing digest, which is taken out of its other cells, and so on (peeling).  An empty rest means that all
+differing digests were recovered.  If cells remain, the pair is sketched again with more cells.
+
+All is DataFrame expressions: sketches of the base size inside the row; for pairs that need more cells, one with
+two cells for each digest of both sides, inside the row up to IN_ROW digests and beyond that as rows of cells,
+aggregated by (pair, cell).
 """
 
 from __future__ import annotations
@@ -17,71 +18,83 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import let, parallelism, stage, with_position
 
-PARAGRAPH = 32
+PARAGRAPH = 48
 #: Cells of each of the three tables of a base sketch.
-CELLS = 16
-ROUNDS = 12
+CELLS = 20
+ROUNDS = 16
 RETRIES = 4
-_CELL = "struct<c:int,k:bigint,h:bigint>"
+#: Digests of both sides up to which a larger sketch stays inside the row: its work grows with their square.
+IN_ROW = 1500
+_HIGH, _LOW = -65536, 65535  # masks of a digest's hash and check bits
+
+
+def _check(key: Column) -> Column:
+    return F.xxhash64(key.bitwiseAND(F.lit(_HIGH).cast("bigint")), F.lit(99)).bitwiseAND(F.lit(_LOW).cast("bigint"))
+
+
+def _pure(c: Column, k: Column) -> Column:
+    return (F.abs(c) == 1) & (k.bitwiseAND(F.lit(_LOW).cast("bigint")) == _check(k))
 
 
 def paragraphs(text: Column) -> Column:
     """Distinct digests of a text's paragraphs; a text without words has none."""
     runs = F.regexp_extract_all(text, F.lit(r"(?:\S+[^\S\n]*){1,%d}" % PARAGRAPH), F.lit(0))
-    return F.array_distinct(F.transform(runs, lambda p: F.xxhash64(F.rtrim(p))))
-
-
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(99))
+    hashed = F.transform(runs, lambda p: F.xxhash64(F.rtrim(p)).bitwiseAND(F.lit(_HIGH).cast("bigint")))
+    return F.array_distinct(F.transform(hashed, lambda x: x.bitwiseOR(_check(x))))
 
 
 def _slot(key: Column, table: int, cells: Column, seed: Column) -> Column:
     return (F.pmod(F.xxhash64(key, F.lit(table), seed), cells) + cells * table).cast("int")
 
 
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """array<struct<c, k, h>> of 3 * cells cells."""
-    n, seed = F.lit(cells), F.lit(0)
-    entry = F.transform(keys, lambda k: F.struct(
-        k.alias("k"), _check(k).alias("h"), F.array(*[_slot(k, j, n, seed) for j in range(3)]).alias("s")))
+def signed(keys: Column, sign: int, cells: Column, seed: Column) -> Column:
+    """array<struct<c, k, s>>: each digest with its sign and its three cells."""
+    return F.transform(keys, lambda k: F.struct(
+        F.lit(sign).alias("c"), k.alias("k"), F.array(*[_slot(k, j, cells, seed) for j in range(3)]).alias("s")))
 
-    def cell(entries: Column, i: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
+
+def fold_entries(entries: Column, cells: Column) -> Column:
+    """array<struct<c, k>> of 3 * cells cells from signed digests."""
+
+    def cell(held: Column, i: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"))
         table = F.floor(i / cells).cast("int")
-        mine = F.filter(entries, lambda e: e["s"][table] == i)
-        return F.aggregate(mine, zero, lambda a, e: F.struct(
-            (a["c"] + 1).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h")))
+        mine = F.filter(held, lambda e: e["s"][table] == i)
+        return F.aggregate(mine, zero, lambda a, e: F.struct((a["c"] + e["c"]).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k")))
+
+    places = F.sequence(F.lit(0), cells * 3 - 1)
+    return let(entries, lambda e: F.transform(places, lambda i: cell(e, i)))
 
-    places = F.sequence(F.lit(0), F.lit(3 * cells - 1))
-    return let(entry, lambda e: F.transform(places, lambda i: cell(e, i)))
+
+def sketch(keys: Column, cells: int = CELLS) -> Column:
+    """array<struct<c, k>> of 3 * cells cells."""
+    return fold_entries(signed(keys, 1, F.lit(cells), F.lit(0)), F.lit(cells))
 
 
 def text_of(sketched: Column, n: Column) -> Column:
-    """The fingerprint: number of digests, then each cell's count and xors in hexadecimal."""
+    """The fingerprint: number of digests, then each cell's count and xor in hexadecimal."""
     return F.concat_ws(";", n.cast("string"), F.array_join(F.transform(
-        sketched, lambda c: F.concat_ws(".", F.hex(c["c"].cast("bigint")), F.hex(c["k"]), F.hex(c["h"]))), ","))
+        sketched, lambda c: F.concat_ws(".", F.hex(c["c"].cast("bigint")), F.hex(c["k"]))), ","))
 
 
 def difference(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct(
-        (x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k")))
 
 
-def peel(cells: Column, size: int = CELLS, rounds: int = ROUNDS) -> Column:
+def peel(cells: Column, size: Column, seed: Column, rounds: int = ROUNDS) -> Column:
     """struct<plus, minus, done>: digests only the first holds, only the second holds, and whether that is all."""
-    n, seed = F.lit(size), F.lit(0)
     longs = F.array().cast("array<bigint>")
     start = F.struct(cells.alias("cells"), longs.alias("plus"), longs.alias("minus"), F.lit(True).alias("more"))
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["c"]) == 1) & (c["h"] == _check(c["k"])))
-        found = F.array_distinct(F.transform(pure, lambda c: F.struct(
-            c["c"].alias("c"), c["k"].alias("k"), c["h"].alias("h"), *[_slot(c["k"], j, n, seed).alias(f"s{j}") for j in range(3)])))
+        pure = F.filter(state["cells"], lambda c: _pure(c["c"], c["k"]))
+        found = F.transform(F.array_distinct(pure), lambda c: F.struct(
+            c["c"].alias("c"), c["k"].alias("k"), *[_slot(c["k"], j, size, seed).alias(f"s{j}") for j in range(3)]))
 
         def after(f: Column) -> Column:
             take = lambda c, i: F.aggregate(
                 F.filter(f, lambda p: (p["s0"] == i) | (p["s1"] == i) | (p["s2"] == i)), c,
-                lambda x, p: F.struct((x["c"] - p["c"]).alias("c"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["h"].bitwiseXOR(p["h"]).alias("h")))
+                lambda x, p: F.struct((x["c"] - p["c"]).alias("c"), x["k"].bitwiseXOR(p["k"]).alias("k")))
             ones = lambda sign: F.transform(F.filter(f, lambda p: p["c"] == sign), lambda p: p["k"])
             return F.when(F.size(f) == 0, F.struct(
                 state["cells"].alias("cells"), state["plus"].alias("plus"), state["minus"].alias("minus"), F.lit(False).alias("more"))
@@ -93,10 +106,24 @@ def peel(cells: Column, size: int = CELLS, rounds: int = ROUNDS) -> Column:
 
     end = lambda s: F.struct(
         s["plus"].alias("plus"), s["minus"].alias("minus"),
-        (~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("done"))
+        (~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0))).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, end)
 
 
+def _retry_size(attempt: int) -> Column:
+    """Cells of each table: in all, 2 * attempt for each digest of both sides, at least 24."""
+    return F.greatest(F.lit(8), ((F.size("left") + F.size("right")) * attempt * 2 / 3).cast("int") + 1)
+
+
+def recover_in_row(pairs: DataFrame) -> DataFrame:
+    """id, plus, minus, done of pairs (id, left, right) by one larger sketch inside the row."""
+    size, seed = F.col("_m"), F.lit(1)
+    sized = pairs.withColumn("_m", _retry_size(1))
+    entries = F.concat(signed(F.col("left"), 1, size, seed), signed(F.col("right"), -1, size, seed))
+    got = sized.withColumn("_p", peel(fold_entries(entries, size), size, seed, 2 * ROUNDS))
+    return got.select("id", F.size("_p.plus").cast("bigint").alias("plus"), F.size("_p.minus").cast("bigint").alias("minus"), "_p.done")
+
+
 def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
     """id, plus, minus (numbers of digests) of pairs (id, left, right: arrays of distinct digests), by sketches of
     2 * attempt cells for each digest of both sides, as rows (id, slot).
@@ -106,25 +133,23 @@ def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
     sides themselves are compared.
     """
     seed = F.lit(attempt)
-    # three tables of cells each; at least 8 in a table
-    size = F.greatest(F.lit(8), ((F.size("left") + F.size("right")) * attempt * 2 / 3).cast("int") + 1)
-    keyed = pairs.select("id", size.alias("m"), F.explode(F.concat(
+    # dealt by pair: the cells of a pair are folded where its digests are, without a further exchange
+    keyed = pairs.select("id", "left", "right", _retry_size(attempt).alias("m")).repartition(parallelism(pairs.sparkSession), "id").select("id", "m", F.explode(F.concat(
         F.transform("left", lambda k: F.struct(F.lit(1).alias("c"), k.alias("k"))),
         F.transform("right", lambda k: F.struct(F.lit(-1).alias("c"), k.alias("k"))))).alias("e")).select("id", "m", "e.c", "e.k")
 
     def spread(rows: DataFrame) -> DataFrame:
         slots = F.explode(F.array(*[_slot(F.col("k"), j, F.col("m"), seed) for j in range(3)]))
-        return rows.select("id", "m", slots.alias("s"), "c", "k", _check(F.col("k")).alias("h"))
+        return rows.select("id", "m", slots.alias("s"), "c", "k")
 
     def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "m", "s").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where(
-            "c <> 0 or k <> 0 or h <> 0")
+        return rows.groupBy("id", "m", "s").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k")).where("c <> 0 or k <> 0")
 
     cells = stage(fold(spread(keyed)), "op10-cells")
     got: DataFrame | None = None
     while True:
         pure = stage(
-            cells.where("abs(c) = 1").where(F.col("h") == _check(F.col("k"))).select("id", "m", "c", "k").distinct(), "op10-pure")
+            cells.where(_pure(F.col("c"), F.col("k"))).select("id", "m", "c", "k").distinct(), "op10-pure")
         if pure.isEmpty():
             break
         got = pure if got is None else got.unionByName(pure)
@@ -207,8 +232,9 @@ def compare(rows: DataFrame, versions: dict[str, tuple[str, str]], cells: int =
     """
     sides = sorted({s for pair in versions.values() for s in pair})
     made = rows.withColumns({f"_s_{s}": sketch(F.col(s), cells) for s in sides if f"_s_{s}" not in rows.columns})
-    out = made.withColumns({f"_p_{name}": peel(difference(F.col(f"_s_{a}"), F.col(f"_s_{b}")), cells) for name, (a, b) in versions.items()})
-    keep = [c for c in rows.columns if c not in sides]
+    out = made.withColumns({
+        f"_p_{name}": peel(difference(F.col(f"_s_{a}"), F.col(f"_s_{b}")), F.lit(cells), F.lit(0)) for name, (a, b) in versions.items()})
+    keep = [c for c in rows.columns if c not in sides and not c.startswith("_s_")]
     held = stage(out.select(
         *keep, *[F.size(s).alias(f"n_{s}") for s in sides],
         *[F.when(F.col(f"_p_{n}.done"), F.size(f"_p_{n}.plus")).cast("bigint").alias(f"{n}_plus") for n in versions],
@@ -216,12 +242,19 @@ def compare(rows: DataFrame, versions: dict[str, tuple[str, str]], cells: int =
         *[F.when(~F.col(f"_p_{n}.done"), F.struct(F.col(a).alias("left"), F.col(b).alias("right"))).alias(f"_r_{n}") for n, (a, b) in versions.items()],
     ), "op10-compared")
     failed = None
-    for n in versions:
-        part = held.where(F.col(f"_r_{n}").isNotNull()).select(F.struct(F.col("_uid"), F.lit(n).alias("name")).alias("id"), f"_r_{n}.left", f"_r_{n}.right")
+    for i, n in enumerate(versions):
+        number = F.col("_uid") * len(versions) + i
+        part = held.where(F.col(f"_r_{n}").isNotNull()).select(number.alias("id"), f"_r_{n}.left", f"_r_{n}.right")
         failed = part if failed is None else failed.unionByName(part)
-    more = stage(recover(stage(failed, "op10-retry")), "op10-recovered").select("id._uid", "id.name", "plus", "minus")
-    for n in versions:
-        mine = more.where(F.col("name") == n).select("_uid", F.col("plus").alias("_plus"), F.col("minus").alias("_minus"))
+    small = F.size("left") + F.size("right") <= IN_ROW
+    tried = stage(recover_in_row(failed.where(small)), "op10-in-row")
+    hard = failed.where(~small).unionByName(failed.join(tried.where("not done").select("id"), "id", "left_semi"))
+    more = tried.where("done").select("id", "plus", "minus")
+    if not hard.isEmpty():
+        more = more.unionByName(stage(recover(hard), "op10-recovered"))
+    for i, n in enumerate(versions):
+        mine = more.where(F.col("id") % len(versions) == i).select(
+            F.floor(F.col("id") / len(versions)).alias("_uid"), F.col("plus").alias("_plus"), F.col("minus").alias("_minus"))
         held = held.join(mine, "_uid", "left").withColumns({
             f"{n}_plus": F.coalesce(f"{n}_plus", "_plus"), f"{n}_minus": F.coalesce(f"{n}_minus", "_minus")}).drop("_plus", "_minus")
     return held.drop(*[f"_r_{n}" for n in versions])
