@@ -10,9 +10,12 @@ similar sets agree in t + 1 groups, so a set in which at most t groups have an e
 signature; a set with more emits them.  This loses no pair.
 
 From signatures to components.  Equal sets are one class, with one representative.  Sets that share a signature
-are verified against the group's most central member first (linear in the group); pairs of which both sides are
-linked by then need no check, and only pairs between different components are verified in full.  Every link
-decision is by exact set sizes.
+are compared with the group's most central member, the leader (linear in the group), which links most of a family
+of copies.  For what is left, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
+is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members that aren't both linked to the leader can be similar only
+if their differences share a known number of features: a prefix-filtered join on the differences, features that
+the leader lacks first, finds those pairs without pairing the members of a group.  Every link decision is by exact
+set sizes.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import stage, with_position
@@ -155,13 +158,10 @@ def sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, "rep bigint, h array<bigint>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets are similar, as (a, b)."""
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    held = stage(sets(docs, reps.join(ends, "rep", "left_semi").select("doc_id", "rep", "n", "h1", "h2"), plan), "op3-sets")
+def compared(pairs: DataFrame, held: DataFrame, extra: Column, name: str) -> DataFrame:
+    """pairs (a, b, ...) with the expression `extra` over the sets ha and hb; held: rep, h."""
     left, right = held.select(F.col("rep").alias("a"), F.col("h").alias("ha")), held.select(F.col("rep").alias("b"), F.col("h").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(plan.similar(F.size(F.array_intersect("ha", "hb")), F.col("na"), F.col("nb"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, extra.alias(name))
 
 
 def near_groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -210,38 +210,73 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     groups = stage(exploded.join(shared, "sig"), "op3-groups")
     central = groups.groupBy("rep").agg(F.sum("c").alias("w"))
     leaders = groups.join(central, "rep").groupBy("sig").agg(F.max(F.struct("w", "rep", "n")).alias("m"))
-    size_ok = "least(na, nb) * {0} >= greatest(na, nb) * {1}".format(plan.den, plan.num)
-    star = (
-        groups.join(leaders, "sig")
-        .select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b"),
-                F.when(F.col("rep") < F.col("m.rep"), F.col("n")).otherwise(F.col("m.n")).alias("na"),
-                F.when(F.col("rep") < F.col("m.rep"), F.col("m.n")).otherwise(F.col("n")).alias("nb"))
-        .where("a <> b").where(size_ok).distinct()
-    )
-    star = stage(star, "op3-star")
-    links = stage(verify(star, docs, reps, plan), "op3-links")
-    labels = stage(components(links, "op3-first"), "op3-labels")
-
-    # pairs between components that share a signature and were not verified above
-    tagged = groups.select("sig", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "label", F.coalesce("label", "rep"))
+    led = stage(groups.join(leaders, "sig").select("sig", "rep", "n", "m.w", F.col("m.rep").alias("lead"), F.col("m.n").alias("ln")), "op3-led")
+    others = led.where("rep <> lead")
+    common = F.size(F.array_intersect("ha", "hb"))
+    is_link = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
+
+    # first each set with the most central of its leaders, then with its leaders in groups that are still mixed
+    best = stage(
+        others.groupBy("rep").agg(F.max(F.struct("w", "lead", "ln")).alias("m"), F.first("n").alias("nb"))
+        .select(F.col("m.lead").alias("a"), F.col("rep").alias("b"), F.col("m.ln").alias("na"), "nb"), "op3-best")
+    ends = others.select("lead").unionByName(others.select(F.col("rep").alias("lead"))).distinct().withColumnRenamed("lead", "rep")
+    held = stage(sets(docs, reps.join(ends, "rep", "left_semi").select("doc_id", "rep", "n", "h1", "h2"), plan), "op3-sets")
+    best = stage(compared(best, held, common, "common"), "op3-compared")
+    labels = stage(components(best.where(is_link).select("a", "b"), "op3-first"), "op3-labels")
+    tagged = led.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_ = stage(tagged.join(mixed, "sig"), "op3-open")
-    x, y = (open_.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "n", "label"))) for s in "xy")
-    cross = (
-        x.join(y, "sig").where("labelx < labely")
-        .select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"),
-                F.when(F.col("repx") < F.col("repy"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                F.when(F.col("repx") < F.col("repy"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-        .where(size_ok).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    rest = (
+        others.join(mixed, "sig", "left_semi").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb"))
+        .distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
     )
-    cross = stage(cross, "op3-cross")
-    if not cross.isEmpty():
-        links = stage(links.unionByName(verify(cross, docs, reps, plan)), "op3-all-links")
+    star = stage(best.unionByName(compared(stage(rest, "op3-rest"), held, common, "common")), "op3-star")
+    links = stage(star.where(is_link).select("a", "b"), "op3-links")
+    labels = stage(components(links, "op3-star"), "op3-labels")
+
+    more = stage(compared(_cross_pairs(star, held, labels, plan), held, common, "common").where(is_link).select("a", "b"), "op3-cross")
+    if not more.isEmpty():
+        links = stage(links.unionByName(more), "op3-all-links")
         labels = stage(components(links, "op3-second"), "op3-labels2")
     return _members(feats, classes, links, labels)
 
 
+def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b, na, nb) of one leader's family, in different components, that may be similar.
+
+    With h = |D(x)| and k the largest distance at which sets of sizes nx and ny are similar, similar x and y share
+    at least (hx + hy - k) / 2 features of D.  Lower bounds of that for any partner of x: hx - k (as hy >= hx - k),
+    and, where x is linked to the leader and so its partner is not, with hy above the leader's distance.  x then
+    needs the first hx - bound + 1 features of D(x), in an order that all members share.
+    """
+    by_rep = labels.withColumnRenamed("node", "rep")
+    own = star.join(by_rep.withColumnRenamed("rep", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    lead = by_rep.withColumnRenamed("rep", "a").withColumnRenamed("label", "top")
+    tagged = own.join(lead, "a", "left").withColumn("top", F.coalesce("top", "a"))
+    open_ = tagged.where("label <> top").select("a").distinct()
+    family = stage(tagged.join(open_, "a", "left_semi"), "op3-family")
+    part, whole = plan.den - plan.num, plan.den + plan.num
+    partner = F.floor(F.col("nb") * plan.den / plan.num)  # largest size of a similar set
+    h = F.col("na") + F.col("nb") - 2 * F.col("common")
+    k = F.floor((F.col("nb") + partner) * part / whole)
+    least_partner = F.ceil(F.col("nb") * plan.num / plan.den)
+    beyond = F.floor((F.col("na") + least_partner) * part / whole) + 1
+    linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
+    bound = F.greatest(F.lit(1), h - k, F.when(linked, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
+    length = F.greatest(F.lit(0), h - bound + 1).cast("int")
+    sized = family.select("a", "b", "nb", "label", length.alias("length")).where("length > 0")
+    order = F.slice(F.concat(F.array_sort(F.array_except("hb", "ha")), F.array_sort(F.array_except("ha", "hb"))), F.lit(1), F.col("length"))
+    prefix = stage(
+        compared(sized, held, order, "e").select("a", "b", "nb", "label", F.explode("e").alias("e")), "op3-prefix")
+    # features that one component alone has in its prefixes bring no pair
+    mixed = prefix.groupBy("a", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "e")
+    prefix = stage(prefix.join(mixed, ["a", "e"], "left_semi"), "op3-mixed")
+    x, y = (prefix.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label"))) for s in "xy")
+    return stage(
+        x.join(y, ["a", "e"]).where("labelx < labely")
+        .where("least(nbx, nby) * {0} >= greatest(nbx, nby) * {1}".format(plan.den, plan.num))
+        .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
+
+
 def _members(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
         F.count(F.lit(1)).alias("d"))
