@@ -108,3 +108,7 @@ def queries() -> dict:
         "op6_shards": op6_shards, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_warc": op9_warc,
         "op10_fingerprints": op10_fingerprints_,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
