@@ -11,7 +11,7 @@ signature; a set with more emits them.  This loses no pair.
 
 From signatures to components.  Equal sets are one class, with one representative.  Sets that share a signature
 are compared with the group's most central member, the leader (linear in the group), which links most of a family
-of copies.  For what is left, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
+of copies.  Small groups that still mix components are compared pair by pair.  In large ones, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
 is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members that aren't both linked to the leader can be similar only
 if their differences share a known number of features: a prefix-filtered join on the differences, features that
 the leader lacks first, finds those pairs without pairing the members of a group.  Every link decision is by exact
@@ -164,6 +164,14 @@ def compared(pairs: DataFrame, held: DataFrame, extra: Column, name: str) -> Dat
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, extra.alias(name))
 
 
+#: Groups up to this size are compared pair by pair.
+SMALL = 12
+
+
+def _size_filter(a: str, b: str, plan: Plan) -> str:
+    return f"least({a}, {b}) * {plan.den} >= greatest({a}, {b}) * {plan.num}"
+
+
 def near_groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of docs.
 
@@ -210,7 +218,7 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     groups = stage(exploded.join(shared, "sig"), "op3-groups")
     central = groups.groupBy("rep").agg(F.sum("c").alias("w"))
     leaders = groups.join(central, "rep").groupBy("sig").agg(F.max(F.struct("w", "rep", "n")).alias("m"))
-    led = stage(groups.join(leaders, "sig").select("sig", "rep", "n", "m.w", F.col("m.rep").alias("lead"), F.col("m.n").alias("ln")), "op3-led")
+    led = stage(groups.join(leaders, "sig").select("sig", "c", "rep", "n", "m.w", F.col("m.rep").alias("lead"), F.col("m.n").alias("ln")), "op3-led")
     others = led.where("rep <> lead")
     common = F.size(F.array_intersect("ha", "hb"))
     is_link = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
@@ -225,12 +233,24 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     labels = stage(components(best.where(is_link).select("a", "b"), "op3-first"), "op3-labels")
     tagged = led.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    rest = (
-        others.join(mixed, "sig", "left_semi").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb"))
-        .distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
+    open_ = stage(tagged.join(mixed, "sig"), "op3-open")
+
+    # a small group's pairs: at most (SMALL - 1) / 2 for each member
+    x, y = (open_.where(F.col("c") <= SMALL).select("sig", *(F.col(n).alias(n + e) for n in ("rep", "n", "label"))) for e in "xy")
+    few = (
+        x.join(y, "sig").where("labelx < labely").where(_size_filter("nx", "ny", plan))
+        .select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
     )
-    star = stage(best.unionByName(compared(stage(rest, "op3-rest"), held, common, "common")), "op3-star")
-    links = stage(star.where(is_link).select("a", "b"), "op3-links")
+    few = stage(compared(stage(few, "op3-few"), held, common, "common").where(is_link).select("a", "b"), "op3-few-links")
+
+    # a large group's members with its leader
+    wanted = open_.where(F.col("c") > SMALL).where("rep <> lead").select(
+        F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb")).distinct()
+    wanted = stage(wanted.join(best.select("a", "b", "common"), ["a", "b"], "left"), "op3-wanted")
+    star = stage(
+        wanted.where("common is not null").unionByName(compared(wanted.where("common is null").drop("common"), held, common, "common")), "op3-star")
+    near = best.where(is_link).select("a", "b").unionByName(star.where(is_link).select("a", "b")).unionByName(few).distinct()
+    links = stage(near, "op3-links")
     labels = stage(components(links, "op3-star"), "op3-labels")
 
     more = stage(compared(_cross_pairs(star, held, labels, plan), held, common, "common").where(is_link).select("a", "b"), "op3-cross")
@@ -273,7 +293,7 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     x, y = (prefix.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label"))) for s in "xy")
     return stage(
         x.join(y, ["a", "e"]).where("labelx < labely")
-        .where("least(nbx, nby) * {0} >= greatest(nbx, nby) * {1}".format(plan.den, plan.num))
+        .where(_size_filter("nbx", "nby", plan))
         .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
 
 
