@@ -110,5 +110,31 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = {
+    "op2_urls": f"""with u as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+h as (select page_id, {_LOWER.format("regexp_extract(r, '^([^/?#]*)', 1)")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from u),
+f as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+ when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+ when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
+ regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') as listed from h)
+select page_id, host, path, rule, listed, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null or listed then 'block' else 'allow' end as verdict from f""",
+    "op8_decontaminate": f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, list_slice(w, p, p + 9) as k from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as p from b where len(w) > 0)),
+sizes as (select distinct len(k) as n from win), sp as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n),
+occ as (select a.doc_id, a.p, a.n, win.item_id from sp a join win on list_slice(a.w, a.p, a.p + a.n - 1) = win.k),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from occ) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as s from (select distinct doc_id, cast(item_id as varchar) as i from occ) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)""",
+    "op9_warc": """with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+ case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to from f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
