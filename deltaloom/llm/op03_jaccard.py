@@ -266,7 +266,8 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     With h = |D(x)| and k the largest distance at which sets of sizes nx and ny are similar, similar x and y share
     at least (hx + hy - k) / 2 features of D.  Lower bounds of that for any partner of x: hx - k (as hy >= hx - k),
     and, where x is linked to the leader and so its partner is not, with hy above the leader's distance.  x then
-    needs the first hx - bound + 1 features of D(x), in an order that all members share.
+    needs the first hx - bound + 1 features of D(x), in an order that all members share.  The places of a shared
+feature bound what the two differences can share from there on; a pair's first shared feature passes that bound.
     """
     by_rep = labels.withColumnRenamed("node", "rep")
     own = star.join(by_rep.withColumnRenamed("rep", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
@@ -283,17 +284,25 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
     bound = F.greatest(F.lit(1), h - k, F.when(linked, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
     length = F.greatest(F.lit(0), h - bound + 1).cast("int")
-    sized = family.select("a", "b", "nb", "label", length.alias("length")).where("length > 0")
+    # lacks, has: sizes of the two parts of D(x), what the leader lacks and what x lacks
+    sized = family.select(
+        "a", "b", "nb", "label", length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
+    ).where("length > 0")
     order = F.slice(F.concat(F.array_sort(F.array_except("hb", "ha")), F.array_sort(F.array_except("ha", "hb"))), F.lit(1), F.col("length"))
     prefix = stage(
-        compared(sized, held, order, "e").select("a", "b", "nb", "label", F.explode("e").alias("e")), "op3-prefix")
+        compared(sized, held, order, "e").select("a", "b", "nb", "label", "lacks", "has", F.posexplode("e").alias("at", "e")), "op3-prefix")
     # features that one component alone has in its prefixes bring no pair
     mixed = prefix.groupBy("a", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "e")
     prefix = stage(prefix.join(mixed, ["a", "e"], "left_semi"), "op3-mixed")
-    x, y = (prefix.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label"))) for s in "xy")
+    x, y = (prefix.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label", "at", "lacks", "has"))) for s in "xy")
+    # what the differences can share from their first shared feature on, against what similar sets have to share
+    rest = (
+        "case when atx < lacksx then least(lacksx - atx, lacksy - aty) + least(hasx, hasy) "
+        "else least(lacksx + hasx - atx, lacksy + hasy - aty) end")
+    needed = f"lacksx + hasx + lacksy + hasy - floor((nbx + nby) * {part} / {whole})"
     return stage(
         x.join(y, ["a", "e"]).where("labelx < labely")
-        .where(_size_filter("nbx", "nby", plan))
+        .where(_size_filter("nbx", "nby", plan)).where(f"2 * ({rest}) >= {needed}")
         .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
 
 
