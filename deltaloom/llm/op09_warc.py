@@ -1,7 +1,9 @@
 """WARC archives: a writer that stores equal payloads once, and a salvage reader.
 
-Writing uses Spark's text sink, so it reaches any file system that Spark does: each record is one value, and the
-sink's line feed is the last byte of the record's closing CR LF CR LF.  Reading uses binaryFile and scans bytes:
+Each record is a gzip member of its own.  Writing uses Spark's text sink, so it reaches any file system that Spark
+does: a value is a member without its last byte, and the sink's separator is that byte.  It is the top byte of the
+record's length, so zero for records below 16 MB; after larger ones an empty member follows, which ends in zero.
+Reading uses binaryFile and scans bytes:
 when a check fails (gzip member, header, length, closing bytes, digest), the reader looks for the next gzip
 member or version line, goes on there, and logs the bytes in between as a quarantined gap.
 """
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 from deltaloom.llm.common import stage, with_position
 
 MIN_REVISIT = 100
+#: Bytes of the records of an archive, before they are compressed.
 FILE_BYTES = 16 << 20
+CHUNK = 1 << 14
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
@@ -54,6 +59,20 @@ def _clean(col):
     return F.regexp_replace(col.cast("string"), r"[\x00-\x1F\x7F]", " ")
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member, or two of which the second is empty, that ends in a zero byte."""
+    zipped = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    out = zipped.compress(record) + zipped.flush()
+    return out if out.endswith(b"\0") else out + member(b"")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            made = [member(x.as_buffer()).removesuffix(b"\0") if x.is_valid else b"" for x in b.column(0).slice(at, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+
+
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives below path and returns the plan of the records.
 
@@ -93,8 +112,9 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_byte
             line("WARC-Payload-Length", F.octet_length("html").cast("string")))).otherwise(""),
         F.lit("Content-Type: text/html\r\nContent-Length: "),
         F.when(again, "0").otherwise(F.octet_length("html").cast("string")), F.lit("\r\n\r\n"),
-        F.when(again, "").otherwise(F.col("html")), F.lit("\r\n\r"))
-    (joined.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", "none").text(path))
+        F.when(again, "").otherwise(F.col("html")), F.lit("\r\n\r\n"))
+    zipped = joined.select(record.alias("value")).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+    zipped.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
     return plan
 
 
@@ -145,21 +165,31 @@ class Salvage:
         return self
 
     def _member(self, at: int) -> tuple[tuple[list[Record], int] | None, str]:
-        """All of a gzip member has to be records; its check sum is tested by zlib."""
-        unzip = zlib.decompressobj(31)
+        """The records of a member whose check sum zlib found right; bytes of it that are no record are logged as a
+        gap of the whole member."""
+        unzip, to, parts = zlib.decompressobj(31), at, []
         try:
-            plain = unzip.decompress(memoryview(self.data)[at:])
+            while not unzip.eof and to < len(self.data):
+                parts.append(unzip.decompress(memoryview(self.data)[to:to + CHUNK]))
+                to = min(to + CHUNK, len(self.data))
         except zlib.error:
             return None, "broken member"
         if not unzip.eof:
             return None, "cut member"
-        end, inside, out = len(self.data) - len(unzip.unused_data), 0, []
+        plain, end, inside, out, lost = b"".join(parts), to - len(unzip.unused_data), 0, [], ""
         while inside < len(plain):
             found, reason = record_at(plain, inside)
-            if not found:
-                return None, reason
-            out += [Record(at, r.headers, r.block) for r in found[0]]
-            inside = found[1]
+            if found:
+                out += [Record(at, r.headers, r.block) for r in found[0]]
+                inside = found[1]
+            else:
+                lost = lost or f"{reason}, inside a member"
+                after = plain.find(b"\n" + VERSION, inside)
+                inside = after + 1 if after >= 0 else len(plain)
+        if lost and not out:
+            return None, lost
+        if lost:
+            self.gaps.append(Gap(at, end - at, lost))
         return (out, end), ""
 
 
