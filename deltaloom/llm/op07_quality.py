@@ -8,6 +8,7 @@ and identifiers are never features; the metadata features are the text's own siz
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,6 +85,26 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return row, column, (value / np.maximum(norm[row], 1e-9)).astype(np.float32), statistics(w)
 
 
+def gathered(texts: Iterable[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`features` of all texts, made from about `limit` bytes at a time."""
+    parts, run, size, count = [], [], 0, 0
+
+    def close() -> None:
+        nonlocal run, size, count
+        row, column, value, stats = features(run)
+        parts.append(((row + count).astype(np.int32), column.astype(np.int16), value, stats))
+        run, size, count = [], 0, count + len(run)
+
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= limit:
+            close()
+    if run:
+        close()
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 @dataclass
 class Machine:
     w0: float
@@ -109,17 +130,18 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rank: int = 4, steps: int = 600, seed: int = 7) -> Machine:
+def fit(texts: Iterable[bytes], labels: np.ndarray, rank: int = 4, steps: int = 600, seed: int = 7) -> Machine:
     """Logistic loss, Adam over about `steps` mini-batches in a fixed order: the same rows give the same machine."""
     rng = np.random.default_rng(seed)
-    n = len(texts)
+    n = len(labels)
     m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.02, (FEATURES, rank)))
     if n == 0:
+        m.v[:] = 0
         return m
     y = labels.astype(np.float64)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     m.w0 = float(np.log(share / (1 - share)))
-    row, column, value, stats = features(texts)
+    row, column, value, stats = gathered(texts)
     first = np.searchsorted(row, np.arange(n + 1))
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("w0", np.zeros(1)), ("w", m.w), ("v", m.v))}
     step, rate, decay = 0, 0.02, 1e-4
@@ -178,23 +200,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
         .withColumn("text", F.coalesce("text", F.lit("")))
     )
     rows = stage(rows, "op7-sample")
-    room, texts, ys = max_chars, [], []
-    by = rows.select("_h", "doc_id", "_y", F.length("text").alias("n")).orderBy("_h", "doc_id").collect()
-    last = None
-    for r in by:  # at most max_train rows, unless ids repeat
+    order = ["_h", "doc_id", "_t"]
+    rows = rows.withColumn("_t", F.xxhash64("text"))
+    room, ys, last = max_chars, [], None
+    for r in rows.select(*order, "_y", F.length("text").alias("n")).orderBy(*order).limit(max_train).collect():
         room -= r["n"]
-        if room < 0 or len(ys) >= max_train:
+        if room < 0:
             break
-        last = (r["_h"], r["doc_id"])
+        last = r
         ys.append(r["_y"])
     if last is None:
         return fit([], np.zeros(0))
-    kept = rows.where((F.col("_h") < last[0]) | ((F.col("_h") == last[0]) & (F.col("doc_id") <= last[1])))
-    ys = []
-    for r in kept.orderBy("_h", "doc_id", "text").toLocalIterator():
-        texts.append(r["text"].encode())
-        ys.append(r["_y"])
-    return fit(texts, np.array(ys))
+    # the same first rows again, now with their texts, of which the driver holds a few at a time
+    kept = rows.where(F.struct("_h", "doc_id", "_t") <= F.struct(*(F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in order)))
+    texts = kept.select(*order, "text").orderBy(*order).toLocalIterator()
+    return fit((r["text"].encode() for _, r in zip(ys, texts)), np.array(ys))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
