@@ -16,6 +16,11 @@ is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members that aren't both linked t
 if their differences share a known number of features: a prefix-filtered join on the differences, features that
 the leader lacks first, finds those pairs without pairing the members of a group.  Every link decision is by exact
 set sizes.
+
+Members far from their leader.  Unlike sets that share a passage share signatures too, and their differences from a
+leader are as large as they are.  1 - similarity is a metric, so a set similar to one below `split` of its leader is
+itself below split + (1 - num / den): all such sets, each once and not once for each leader, are joined on prefixes of
+the features that several components hold.  A set with fewer of those than any similar pair shares drops out.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ class Plan:
     den: int = 10
     n2: int = 3
     k2: int = 1
+    split: float = 0.5
 
     def bands(self, largest: int) -> list[tuple[int, int]]:
         """(smallest, largest) size of each band: sizes of similar sets lie in one band or in two that follow."""
@@ -253,7 +259,12 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     links = stage(near, "op3-links")
     labels = stage(components(links, "op3-star"), "op3-labels")
 
-    more = stage(compared(_cross_pairs(star, held, labels, plan), held, common, "common").where(is_link).select("a", "b"), "op3-cross")
+    likeness = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    cross = _cross_pairs(star.where(likeness >= plan.split) if plan.split else star, held, labels, plan)
+    if plan.split:
+        far = star.where(likeness < plan.split + 1 - plan.num / plan.den + 1e-9).select(F.col("b").alias("rep"), F.col("nb").alias("n")).distinct()
+        cross = stage(cross.unionByName(_far_pairs(far, held, labels, plan)).distinct(), "op3-both")
+    more = stage(compared(cross, held, common, "common").where(is_link).select("a", "b"), "op3-cross")
     if not more.isEmpty():
         links = stage(links.unionByName(more), "op3-all-links")
         labels = stage(components(links, "op3-second"), "op3-labels2")
@@ -306,6 +317,34 @@ feature bound what the two differences can share from there on; a pair's first s
         .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
 
 
+def _far_pairs(far: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b, na, nb) of sets of `far` (rep, n), in different components, that may be similar.
+
+    Similar x and y share at least needed(nx + ny) features, and so at least num / den of nx, all of them held by
+    several components.  Of x's m such features, rarest first, one of the first m - num / den * nx + 1 is shared; from
+    a pair's first shared feature on, what is left of either has to suffice.
+    """
+    named = labels.withColumnRenamed("node", "rep")
+    rows = far.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(held, "rep")
+    rows = stage(rows.select("rep", "n", "label", F.explode("h").alias("e")), "op3-far")
+    many = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("e", "df")
+    least = F.ceil(F.col("n") * plan.num / plan.den)
+    lists = (
+        rows.join(many, "e").groupBy("rep", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("l"))
+        .withColumn("m", F.size("l").cast("bigint")).where(F.col("m") >= least)
+    )
+    lists = lists.select("rep", "n", "label", "m", F.posexplode(F.slice("l", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("at", "f"))
+    prefix = stage(lists.select("rep", "n", "label", "m", "at", "f.e"), "op3-far-prefix")
+    mixed = prefix.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("e")
+    prefix = stage(prefix.join(mixed, "e", "left_semi"), "op3-far-mixed")
+    x, y = (prefix.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "label", "m", "at"))) for s in "xy")
+    return (
+        x.join(y, "e").where("labelx < labely").where(_size_filter("nx", "ny", plan))
+        .where(f"least(mx - atx, my - aty) * {plan.num + plan.den} >= (nx + ny) * {plan.num}")
+        .select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+    )
+
+
 def _members(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
         F.count(F.lit(1)).alias("d"))

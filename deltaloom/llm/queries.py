@@ -65,7 +65,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op03_jaccard.near_groups(table(spark, sf_dir, "documents"), op03_jaccard.Plan(words=3, num=90, den=100, n2=2, k2=1))
+    return op03_jaccard.near_groups(table(spark, sf_dir, "documents"), op03_jaccard.Plan(words=3, num=90, den=100, n2=2, k2=1, split=0.0))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

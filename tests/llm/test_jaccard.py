@@ -40,3 +40,22 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in near_groups(docs).collect()) == [(0, 1), (1, 1), (1, 1), (2, 2), (2, 2)]
     kept = [tuple(r) for r in keep_one(docs).collect()]
     assert sorted(kept) == [(1, "a b c d e f", 1), (2, None, 3), (2, None, 3)]
+
+
+def test_sets_far_from_their_leader(spark):
+    rng = random.Random(8)
+    passage, texts = [f"p{k}" for k in range(60)], []
+    for _ in range(60):
+        own = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(20, 60))]
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            again = list(own)
+            again[rng.randrange(len(own))] = "other"
+            at = rng.randrange(len(own))
+            texts.append(" ".join(again[:at] + passage + again[at:] if rng.random() < 0.2 else passage + again))
+    rows = list(enumerate(texts + family(5, 40, 80, 9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    want = components(sets, 8, 10)
+    for split in (0.5, 0.95):
+        got = {r["doc_id"]: r["component_id"] for r in near_groups(docs, Plan(split=split)).collect()}
+        assert got == want
