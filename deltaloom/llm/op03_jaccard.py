@@ -17,7 +17,7 @@ if their differences share a known number of features: a prefix-filtered join on
 the leader lacks first, finds those pairs without pairing the members of a group.  Every link decision is by exact
 set sizes.
 
-Members far from their leader.  Unlike sets that share a passage share signatures too, and their differences from a
+Members far from their leader (a step that `split` above 0 turns on).  Unlike sets that share a passage share signatures too, and their differences from a
 leader are as large as they are.  1 - similarity is a metric, so a set similar to one below `split` of its leader is
 itself below split + (1 - num / den): all such sets, each once and not once for each leader, are joined on prefixes of
 the features that several components hold.  A set with fewer of those than any similar pair shares drops out.
@@ -49,7 +49,7 @@ class Plan:
     den: int = 10
     n2: int = 3
     k2: int = 1
-    split: float = 0.5
+    split: float = 0.0
 
     def bands(self, largest: int) -> list[tuple[int, int]]:
         """(smallest, largest) size of each band: sizes of similar sets lie in one band or in two that follow."""
