@@ -6,9 +6,9 @@ Sketches of two versions are subtracted cell by cell; a cell with count 1 or -1
 differing digest, which is taken out of its other cells, and so on (peeling).  An empty rest means that all
 differing digests were recovered.  If cells remain, the pair is sketched again with more cells.
 
-All is DataFrame expressions: sketches of the base size inside the row; for pairs that need more cells, one with
-two cells for each digest of both sides, inside the row up to IN_ROW digests and beyond that as rows of cells,
-aggregated by (pair, cell).
+All is DataFrame expressions: sketches of the base size inside the row; for pairs that need more cells, sketches with
+two cells for each digest of both sides, inside the row up to IN_ROW digests (one for each part of the digests) and
+beyond that as rows of cells, aggregated by (pair, cell).
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import let, parallelism, stage, with_position
 
-PARAGRAPH = 48
+PARAGRAPH = 12
 #: Cells of each of the three tables of a base sketch.
-CELLS = 20
+CELLS = 40
 ROUNDS = 16
 RETRIES = 4
-#: Digests of both sides up to which a larger sketch stays inside the row: its work grows with their square.
-IN_ROW = 1500
+#: Digests of both sides up to which larger sketches stay inside the row, and those that one of them holds on average.
+IN_ROW = 6000
+PART = 24
 _HIGH, _LOW = -65536, 65535  # masks of a digest's hash and check bits
 
 
@@ -53,17 +54,26 @@ def signed(keys: Column, sign: int, cells: Column, seed: Column) -> Column:
         F.lit(sign).alias("c"), k.alias("k"), F.array(*[_slot(k, j, cells, seed) for j in range(3)]).alias("s")))
 
 
-def fold_entries(entries: Column, cells: Column) -> Column:
-    """array<struct<c, k>> of 3 * cells cells from signed digests."""
+def _by_place(entries: Column, places: Column) -> Column:
+    """For each place 0..places - 1 the array of its entries (struct<p, c, k>): one sort and one pass, whatever the number of places."""
+    # a mark stands before the entries of each place, and one after the last
+    marks = F.transform(F.sequence(F.lit(0), places), lambda p: F.struct(p.alias("p"), F.lit(-2).alias("c"), F.lit(0).cast("bigint").alias("k")))
+
+    def cut(rows: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i)["c"] == -2)
+        return let(at, lambda at: F.transform(
+            F.sequence(F.lit(0), places - 1), lambda p: F.slice(rows, F.get(at, p) + 2, F.get(at, p + 1) - F.get(at, p) - 1)))
 
-    def cell(held: Column, i: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"))
-        table = F.floor(i / cells).cast("int")
-        mine = F.filter(held, lambda e: e["s"][table] == i)
-        return F.aggregate(mine, zero, lambda a, e: F.struct((a["c"] + e["c"]).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k")))
+    return let(F.sort_array(F.concat(entries, marks)), cut)
 
-    places = F.sequence(F.lit(0), cells * 3 - 1)
-    return let(entries, lambda e: F.transform(places, lambda i: cell(e, i)))
+
+def fold_entries(entries: Column, cells: Column) -> Column:
+    """array<struct<c, k>> of 3 * cells cells from signed digests."""
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"))
+    placed = F.flatten(F.transform(entries, lambda e: F.transform(
+        e["s"], lambda s: F.struct(s.alias("p"), e["c"].alias("c"), e["k"].alias("k")))))
+    return F.transform(_by_place(placed, cells * 3), lambda held: F.aggregate(
+        held, zero, lambda a, e: F.struct((a["c"] + e["c"]).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k"))))
 
 
 def sketch(keys: Column, cells: int = CELLS) -> Column:
@@ -82,7 +92,11 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, size: Column, seed: Column, rounds: int = ROUNDS) -> Column:
-    """struct<plus, minus, done>: digests only the first holds, only the second holds, and whether that is all."""
+    """struct<plus, minus, done>: digests only the first holds, only the second holds, and whether that is all.
+
+    A cell of several digests may pass for one by chance; such a digest is taken out and put back, so it ends on both
+    sides, and the sketch then counts as not done.
+    """
     longs = F.array().cast("array<bigint>")
     start = F.struct(cells.alias("cells"), longs.alias("plus"), longs.alias("minus"), F.lit(True).alias("more"))
 
@@ -106,8 +120,8 @@ def peel(cells: Column, size: Column, seed: Column, rounds: int = ROUNDS) -> Col
 
     end = lambda s: F.struct(
         s["plus"].alias("plus"), s["minus"].alias("minus"),
-        (~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0))).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, end)
+        (~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0)) & ~F.arrays_overlap(s["plus"], s["minus"])).alias("done"))
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step), end)
 
 
 def _retry_size(attempt: int) -> Column:
@@ -115,13 +129,39 @@ def _retry_size(attempt: int) -> Column:
     return F.greatest(F.lit(8), ((F.size("left") + F.size("right")) * attempt * 2 / 3).cast("int") + 1)
 
 
+def _dealt(left: Column, right: Column) -> Column:
+    """array<array<struct<p, c, k>>>: signed digests of both sides in parts of about PART, by their hash."""
+
+    def split(parts: Column) -> Column:
+        entry = lambda c: lambda k: F.struct(F.pmod(F.xxhash64(k, F.lit("part")), parts).cast("int").alias("p"), F.lit(c).alias("c"), k.alias("k"))
+        return _by_place(F.concat(F.transform(left, entry(1)), F.transform(right, entry(-1))), parts)
+
+    return let(F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / PART).cast("int")), split)
+
+
+def _recover_part(part: Column) -> Column:
+    """struct<plus, minus, done>: numbers of digests of one part, sketched again with more cells while some are left."""
+
+    def again(state: Column, attempt: Column) -> Column:
+        def with_cells(m: Column) -> Column:
+            entries = F.transform(part, lambda e: F.struct(
+                e["c"].alias("c"), e["k"].alias("k"), F.array(*[_slot(e["k"], j, m, attempt) for j in range(3)]).alias("s")))
+            return let(peel(fold_entries(entries, m), m, attempt), lambda r: F.struct(
+                F.size(r["plus"]).alias("plus"), F.size(r["minus"]).alias("minus"), r["done"].alias("done")))
+
+        cells = F.greatest(F.lit(8), (F.size(part) * attempt * 2 / 3).cast("int") + 1)
+        return F.when(state["done"], state).otherwise(let(cells, with_cells))
+
+    start = F.struct(F.lit(0).alias("plus"), F.lit(0).alias("minus"), (F.size(part) == 0).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, again)
+
+
 def recover_in_row(pairs: DataFrame) -> DataFrame:
-    """id, plus, minus, done of pairs (id, left, right) by one larger sketch inside the row."""
-    size, seed = F.col("_m"), F.lit(1)
-    sized = pairs.withColumn("_m", _retry_size(1))
-    entries = F.concat(signed(F.col("left"), 1, size, seed), signed(F.col("right"), -1, size, seed))
-    got = sized.withColumn("_p", peel(fold_entries(entries, size), size, seed, 2 * ROUNDS))
-    return got.select("id", F.size("_p.plus").cast("bigint").alias("plus"), F.size("_p.minus").cast("bigint").alias("minus"), "_p.done")
+    """id, plus, minus, done of pairs (id, left, right) by larger sketches inside the row, one for each part of the
+    digests: its work grows with their number and not with its square."""
+    got = pairs.withColumn("_p", F.transform(_dealt(F.col("left"), F.col("right")), _recover_part))
+    add = lambda name: F.aggregate("_p", F.lit(0).cast("bigint"), lambda n, r: n + r[name])
+    return got.select("id", add("plus").alias("plus"), add("minus").alias("minus"), F.forall("_p", lambda r: r["done"]).alias("done"))
 
 
 def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
@@ -156,7 +196,7 @@ def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
         cells = stage(fold(cells.unionByName(spread(pure.withColumn("c", -F.col("c"))))), "op10-cells")
     counts = pairs.select("id")
     if got is not None:
-        sums = got.groupBy("id").agg(
+        sums = got.groupBy("id", "k").agg(F.sum("c").alias("c")).groupBy("id").agg(
             F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("plus"), F.sum(F.when(F.col("c") == -1, 1).otherwise(0)).alias("minus"))
         counts = counts.join(sums, "id", "left")
     else:
