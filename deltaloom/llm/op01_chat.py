@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.llm.common import indexed, stage, with_position
+from deltaloom.operators import graph
 
 SCHEMA_COLUMNS = T.StructType([
     T.StructField("tool", T.StringType()),
@@ -71,23 +72,38 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def order(linked: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Adds rank_position and rank_step: sorting a conversation by them puts each call after the results it
-    needs and each result after its call, and changes nothing in a log that is already in such an order.
-
-    Only calls that stand earlier in the log count as needed, so the graph has no cycle.  A node's rank is the
-    largest of its own (position, 0) and (p, s + 1) over its predecessors' ranks (p, s).  Each round moves the
-    ranks along the edges that are out of order; an ordered log needs none.
+    """Adds rank_position, rank_step and on_cycle: sorting a conversation by the first two puts each call after the
+    results it needs and each result after its call, wherever they stand in the log, and changes nothing in a log
+    that is already in such an order.
+
+    Rows on a cycle have no such order: on_cycle marks them.  The edges inside a cycle are left out, so these rows
+    keep the order of the log among themselves, but stand after what they need from outside and before what needs them.
+    A node's rank is the largest of its own (position, 0) and (p, s + 1) over its predecessors' ranks (p, s).  Each
+    round moves the ranks along the edges that are out of order; an ordered log needs none.
     """
     staged = stage(linked, "op1-linked")
     nodes = staged.select("uid", "conversation", "call_id", "kind", "link", "position", "call_uid", "call_position", "needs")
     to_result = nodes.where("kind = 'result' and call_uid is not null").select(
-        F.col("call_uid").alias("src"), F.col("uid").alias("dst"))
+        "conversation", F.col("call_uid").alias("src"), F.col("uid").alias("dst"), F.col("call_position").alias("before"), F.col("position").alias("at"))
     wanted = nodes.where("kind = 'call'").select(
         "conversation", F.explode("needs").alias("call_id"), F.col("uid").alias("dst"), F.col("position").alias("at"))
     answers = nodes.where("kind = 'result' and link = 'linked'").select(
-        "conversation", "call_id", F.col("uid").alias("src"), "call_position")
-    from_result = wanted.join(answers, ["conversation", "call_id"]).where("call_position < at").select("src", "dst")
-    edges = stage(to_result.unionByName(from_result).distinct(), "op1-edges")
+        "conversation", "call_id", F.col("uid").alias("src"), F.col("position").alias("before"))
+    from_result = wanted.join(answers, ["conversation", "call_id"]).select("conversation", "src", "dst", "before", "at")
+    edges = stage(to_result.unionByName(from_result).select(
+        "conversation", "src", "dst", (~F.coalesce(F.col("before") < F.col("at"), F.lit(False))).alias("back")).distinct(), "op1-edges")
+    # a cycle has an edge that doesn't go forward in the log; other conversations have none
+    turned = edges.where("back").select("conversation").distinct()
+    cycles = staged.select(F.col("uid").alias("node"), F.col("uid").alias("component")).limit(0)
+    if not turned.isEmpty():
+        cycles = stage(graph.scc(edges.join(turned, "conversation", "left_semi").select("src", "dst")), "op1-cycles")
+        if not cycles.isEmpty():
+            ends = edges
+            for end in ("src", "dst"):
+                ends = ends.join(cycles.select(F.col("node").alias(end), F.col("component").alias("c_" + end)), end, "left")
+            edges = stage(ends.where("not coalesce(c_src = c_dst, false)").select("src", "dst"), "op1-acyclic")
+    staged = staged.join(cycles.select(F.col("node").alias("uid"), F.lit(True).alias("on_cycle")), "uid", "left").withColumn(
+        "on_cycle", F.coalesce("on_cycle", F.lit(False)))
     ranks = nodes.select("uid", F.struct(F.col("position").alias("p"), F.lit(0).alias("s")).alias("rank"))
     moved: DataFrame | None = None
     for _ in range(max_rounds):
@@ -153,12 +169,12 @@ def canonical_json(messages: DataFrame) -> DataFrame:
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Links, orders, validates and serialises; adds seq, the place 0.. in the conversation's order.
+    """Links, orders, validates and serialises; adds seq, the place 0.. in the conversation's order, and on_cycle.
 
     Null conversations form one group of their own; null positions sort first.  Repeated rows stay, as
     'duplicate'.  An empty relation gives an empty result.  Columns of the input that this module doesn't name
     are kept, those with clashing names are refused by Spark as ambiguous only if they are 'uid', 'link',
-    'errors', 'json' or 'seq', so rename these first.
+    'errors', 'json', 'on_cycle' or 'seq', so rename these first.
     """
     full = canonical_json(validate(order(link(messages)), schemas))
     keys = ["conversation", "rank_position", "rank_step", "uid"]

@@ -47,7 +47,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = spark.createDataFrame(CHAT_SCHEMA, op01_chat.SCHEMA_COLUMNS)
     out = op01_chat.format_chats(conversation_messages(table(spark, sf_dir, "conversations")), schemas)
     return out.select(
-        F.col("conversation").alias("conv_id"), F.col("position").alias("turn"), "kind", "call_id", "link", "seq",
+        F.col("conversation").alias("conv_id"), F.col("position").alias("turn"), "kind", "call_id", "link", "seq", "on_cycle",
         F.array_join("errors", "; ").alias("errors"), "json")
 
 
