@@ -202,7 +202,9 @@ def next_start(data: bytes, at: int) -> int:
 
 def record_at(data: bytes, at: int) -> tuple[tuple[list[Record], int] | None, str]:
     """One record and its end, or the reason why there is none."""
-    top = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    # a header has any length, but ends before the next version line
+    after = data.find(b"\n" + VERSION, at)
+    top = data.find(b"\r\n\r\n", at, after if after >= 0 else len(data))
     if top < 0:
         return None, "no end of header"
     lines = data[at:top].split(b"\r\n")

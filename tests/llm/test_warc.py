@@ -68,3 +68,18 @@ def test_round_trip_of_odd_rows(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     W.write(spark.createDataFrame([], "page_id bigint, url string, html string"), path := f"file://{tmp_path}/b")
     assert W.read(spark, path).count() == 0
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(k, "http://h/" + "u" * n, "b" * 200) for k, n in enumerate((5, 100_000, 3_000_000, 7))]
+    W.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path := f"file://{tmp_path}/c")
+    got = W.read(spark, path).collect()
+    assert {(r["kind"], r["page_id"], r["url"], r["refers_to"]) for r in got} == {("record", k, url, 0 if k else None) for k, url, _ in rows}
+    assert len(got) == len(rows)
+
+
+def test_header_without_end_stops_at_the_next_version_line():
+    cut = record(1, b"x" * 50)[:70]
+    data = cut + b"\n" + record(2, b"y")
+    got = W.Salvage(data).run()
+    assert [r.block for r in got.records] == [b"y"] and [(g.offset, g.length) for g in got.gaps] == [(0, len(cut) + 1)]
