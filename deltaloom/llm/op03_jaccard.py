@@ -148,8 +148,14 @@ def features(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """rep and its shingle hashes, from whole texts; wanted: doc_id, rep, n, h1, h2."""
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("rep", "text", "n", "h1", "h2")
+    """rep and its shingle hashes, from whole texts; wanted: doc_id, digest, rep, n, h1, h2.
+
+    Representatives without doc_id are met by the digest of their text, one row of each.
+    """
+    columns = ["rep", "text", "n", "h1", "h2"]
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select(*columns)
+    named = docs.where("doc_id is null").select("text", F.xxhash64("text").alias("digest"))
+    rows = rows.unionByName(named.dropDuplicates(["digest"]).join(wanted.where("doc_id is null"), "digest").select(*columns))
 
     def run(batches):
         for part, texts in chunks(batches, 1):
@@ -214,10 +220,10 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     feats = stage(with_position(features(docs, plan), "uid"), "op3-features")
     key = ["n", "h1", "h2"]
     classes = feats.where("n > 0").groupBy(*key).agg(
-        F.min("uid").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        F.min(F.struct(F.col("doc_id").isNull(), "uid"))["uid"].alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes, "op3-classes")
     # uid is unique, so the row of a representative is met by it alone
-    reps = stage(classes.join(feats.select("uid", "doc_id", "sigs"), F.expr("rep = uid")).drop("uid"), "op3-reps")
+    reps = stage(classes.join(feats.select("uid", "doc_id", "digest", "sigs"), F.expr("rep = uid")).drop("uid"), "op3-reps")
 
     exploded = reps.select("rep", "n", F.explode("sigs").alias("sig"))
     shared = exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -234,7 +240,7 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
         others.groupBy("rep").agg(F.max(F.struct("w", "lead", "ln")).alias("m"), F.first("n").alias("nb"))
         .select(F.col("m.lead").alias("a"), F.col("rep").alias("b"), F.col("m.ln").alias("na"), "nb"), "op3-best")
     ends = others.select("lead").unionByName(others.select(F.col("rep").alias("lead"))).distinct().withColumnRenamed("lead", "rep")
-    held = stage(sets(docs, reps.join(ends, "rep", "left_semi").select("doc_id", "rep", "n", "h1", "h2"), plan), "op3-sets")
+    held = stage(sets(docs, reps.join(ends, "rep", "left_semi").select("doc_id", "digest", "rep", "n", "h1", "h2"), plan), "op3-sets")
     best = stage(compared(best, held, common, "common"), "op3-compared")
     labels = stage(components(best.where(is_link).select("a", "b"), "op3-first"), "op3-labels")
     tagged = led.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -59,3 +59,13 @@ def test_sets_far_from_their_leader(spark):
     for split in (0.5, 0.95):
         got = {r["doc_id"]: r["component_id"] for r in near_groups(docs, Plan(split=split)).collect()}
         assert got == want
+
+
+def test_null_ids_link_to_near_copies(spark):
+    texts = family(7, 3, 90, 2)
+    other = family(9, 2, 90, 2)
+    rows = [(None, texts[0])] * 4 + [(5, texts[0]), (6, texts[1]), (None, texts[2]), (None, texts[2])] + [(None, other[0]), (None, other[0]), (8, other[1]), (9, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near_groups(docs).collect()
+    assert sorted(r["component_id"] for r in got) == [5] * 8 + [8] * 3 + [9]
+    assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == [5, 8, 9]
