@@ -407,9 +407,9 @@ def tokenize_stats(spark, d):
     from pyspark.sql.functions import col
 
     spark.udtf.register("tokenize_text", Tokenize)
-    docs = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents")
     docs.createOrReplaceTempView("deltaloom_texts")
-    return spark.sql("select item_id, kind, count(*) as n, max(line) as lines from deltaloom_texts, lateral tokenize_text(text) group by item_id, kind").where(col("n") > 0)
+    return spark.sql("select doc_id, kind, count(*) as n, max(line) as lines from deltaloom_texts, lateral tokenize_text(text) group by doc_id, kind").where(col("n") > 0)
 
 
 @query(r"""with r as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages), known as (select distinct '/' || regexp_extract(text, '^(\w+)', 1) as target from documents)

@@ -1,0 +1,18 @@
+"""Tokens of whole documents, counted by kind."""
+
+from collections import defaultdict
+
+import __spark_entry__ as entry
+from deltaloom.functions.tokens import tokenize
+
+
+def test_tokenize_stats_reads_documents(spark, tmp_path):
+    texts = {1: "select [a]]b], N'x''y' -- c\nfrom t\n\nwhere @v = 1.5e3", 2: "word " * 6000 + "\n/* a\nb */ end", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = defaultdict(lambda: (0, 0))
+    for i, text in texts.items():
+        for _, kind, _, line in tokenize(text or ""):
+            n, lines = want[i, kind]
+            want[i, kind] = (n + 1, max(lines, line))
+    got = {(r["doc_id"], r["kind"]): (r["n"], r["lines"]) for r in entry.queries()["tokenize_stats"](spark, f"file://{tmp_path}").collect()}
+    assert got == dict(want) and got[2, "word"] == (6001, 3)
