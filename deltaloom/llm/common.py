@@ -1,8 +1,7 @@
 """Shared helpers of the training-data operators.
 
 Staging.  Several operators need a relation twice, or need row numbers that stay the same when a lost
-executor makes Spark run a task again.  `stage` writes such a relation as Parquet below the folder in
-`spark.checkpoint.dir` and reads it back, which cuts the lineage and survives lost executors.
+executor makes Spark run a task again: `stage` of `sources.staging` writes such a relation into the shared folder.
 
 Numbering.  `indexed` numbers rows 0..n-1 in a total order without one task seeing all rows: a range
 exchange, a sort inside each partition, and an offset for each partition from a table that has one row
@@ -11,50 +10,25 @@ for each partition.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: dict[str, SparkSession] = {}
+from deltaloom.sources.staging import drop, owning, shared_dir, stage, stage_path
 
+__all__ = [
+    "ascii_lower", "bitmap", "drop", "free_name", "has_bit", "indexed", "let", "number", "owning", "parallelism", "shared_dir", "stage", "stage_path",
+    "with_position", "MAX_BITS",
+]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests, local mode) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
 
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/deltaloom/{name}-{uuid.uuid4().hex}"
-    _MADE[path] = spark
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and returns the relation that reads it."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_stages() -> None:
-    for path, spark in _MADE.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            if spark.sparkContext._jsc is None or jvm is None:
-                continue
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            return
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """wanted, with as many underscores before it as make it none of the names taken (compared without case)."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
 
 
 def let(value: Column, body) -> Column:
