@@ -1,9 +1,13 @@
 """URL filters: a Bloom filter cascade that is exact over the corpus's keys, and host and path rules.
 
-Level 0 holds the listed keys.  Level 1 holds the keys of the universe that level 0 passes although they are not
-listed, level 2 the listed keys that level 1 passes, and so on until a level passes no wrong key.  A key's answer
-is the parity of the first level that refuses it.  Over the universe the answer is exact, so a page needs no join:
-the levels are constants of the plan, at most `MAX_BITS` bits each.
+Keys are hosts and their parent domains; a host is listed if it or a parent domain of it stands in the list.  Level 0
+holds the listed keys that the corpus asks for.  Level 1 holds the keys of the corpus that level 0 passes although
+they are not listed, level 2 the listed keys that level 1 passes, and so on until a level passes no wrong key.  A
+key's answer is the parity of the first level that refuses it.  Over the corpus's complete universe of keys the
+answer is exact, so a page needs no join: the levels are constants of the plan.
+
+A constant has at most MAX_BITS bits.  Where the keys need more, hosts are dealt by hash into parts, each with a
+cascade of its own over the keys that its hosts ask for, and pages are judged part by part.
 """
 
 from __future__ import annotations
@@ -14,9 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import bitmap, has_bit, stage
-
-MAX_LEVELS = 64
+from deltaloom.llm.common import MAX_BITS, bitmap, drop, has_bit, stage
 
 
 @dataclass
@@ -52,25 +54,68 @@ def _passes(key: Column, depth: int, bits: int, hashes: int, held: Column) -> Co
 def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10) -> Cascade:
     """A cascade from one-column relations `key`: the listed keys and all keys that will be asked.
 
-    Nulls and repeated keys count for nothing.  Listed keys that the universe lacks are kept.  Each level is
-    a pass over the keys that are still wrong, which shrink by the false-positive rate at each level.
+    Nulls and repeated keys count for nothing, and so do listed keys that nobody asks.  Each level is a pass over the
+    keys that are still wrong, which shrink by the false-positive rate at each level; the hashes of each level are its
+    own, so the levels end.
     """
-    want = stage(listed.where("key is not null").distinct(), "op2-listed")
-    rest = stage(universe.where("key is not null").distinct().join(want, "key", "left_anti"), "op2-universe")
+    asked = stage(universe.where("key is not null").distinct(), "op2-universe")
+    listed = listed.where("key is not null")
+    inside = stage(asked.join(listed, "key", "left_semi"), "op2-listed")
+    outside = stage(asked.join(listed, "key", "left_anti"), "op2-others")
+    drop(asked)
     out = Cascade()
-    inside, outside = want, rest
-    for depth in range(MAX_LEVELS):
-        n = inside.count()
-        if n == 0:
-            return out
-        bits = max(64, 1 << math.ceil(math.log2(n * bits_per_key)))
+    while n := inside.count():
+        depth = len(out.levels)
+        bits = 64 * math.ceil(n * bits_per_key / 64)
         hashes = max(1, min(8, round(bits / n * math.log(2))))
         slots = inside.select(F.explode(F.array(*[_slot(F.col("key"), depth, i, bits) for i in range(hashes)])).alias("slot"))
         held = bitmap(slots, "slot", bits)
         out.levels.append((bits, hashes, held))
         wrong = stage(outside.where(_passes(F.col("key"), depth, bits, hashes, held)), "op2-level")
+        drop(outside)
         inside, outside = wrong, inside
-    raise ValueError("the cascade does not end; raise bits_per_key")
+    drop(inside, outside)
+    return out
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A cascade for each part of the hosts; one part unless a cascade's levels would be over MAX_BITS."""
+
+    parts: tuple[Cascade, ...]
+
+    def part(self, host: Column) -> Column:
+        return F.pmod(F.xxhash64(host), F.lit(len(self.parts)))
+
+
+#: A domain name has at most so many characters; longer parents of a host are never asked.
+NAME = 253
+
+
+def keys_of(host: Column) -> Column:
+    """The host and its parent domains (of at most NAME characters)."""
+    long = F.length(host) > NAME
+    labels = F.split(F.when(long, F.right(host, F.lit(NAME + 1))).otherwise(host), r"\.")
+    first = F.when(long, F.lit(2)).otherwise(F.lit(1))  # of a cut host the first label belongs to a longer name
+    some = F.when(F.size(labels) >= first, F.transform(
+        F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(host), some))
+
+
+def filter_of(listed: DataFrame, hosts: DataFrame, bits_per_key: int = 10, max_bits: int = MAX_BITS) -> Filter:
+    """The filter for one-column relations `key` (listed names) and `host` (every host that will be judged)."""
+    hosts = stage(hosts.where("host is not null").distinct(), "op2-hosts")
+    ask = lambda df: df.select(F.explode(keys_of(F.col("host"))).alias("key"))
+    universe = ask(hosts).distinct()
+    n, known = universe.count(), universe.join(listed.where("key is not null").distinct(), "key", "left_semi").count()
+    # the second level holds what the first passes by mistake, about one key in a hundred
+    parts = max(1, math.ceil(max(known, n / 64) * bits_per_key * 2 / max_bits))
+    made = []
+    for k in range(parts):
+        mine = hosts if parts == 1 else hosts.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k)
+        made.append(build(listed, ask(mine), bits_per_key))
+    drop(hosts)
+    return Filter(tuple(made))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -98,14 +143,23 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return out
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], cascade: Cascade, url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict: the rule's, else 'block' where the cascade holds the host."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]], held: Filter, url: str = "url") -> DataFrame:
+    """pages with host, path, rule, listed and verdict: the rule's, else 'block' where the host or a parent is listed.
+
+    Null urls and urls without '://' have an empty host and path, which no rule fits; they are allowed unless the empty
+    name is listed.  Repeated rows are judged one by one; an empty relation gives an empty one.  Input columns named
+    like one of the five are replaced, all others stay.  With several parts, each is a scan of its own.
+    """
     host, path = split_url(F.col(url))
-    split = pages.withColumns({"host": host, "path": path})
+    rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "listed", "verdict")]
+    split = pages.select(*[F.col(f"`{c}`") for c in rest], host.alias("host"), path.alias("path"))
     fit = matching_rule(F.col("host"), F.col("path"), rules)
-    listed = cascade.contains(F.col("host"))
-    return split.withColumn("_fit", fit).withColumns({
-        "rule": F.col("_fit.rule"),
-        "listed": listed,
-        "verdict": F.coalesce("_fit.verdict", F.when(listed, "block").otherwise("allow")),
-    }).drop("_fit")
+    out: DataFrame | None = None
+    for k, cascade in enumerate(held.parts):
+        mine = split if len(held.parts) == 1 else split.where(held.part(F.col("host")) == k)
+        listed = F.exists(keys_of(F.col("host")), lambda key: cascade.contains(key))
+        judged = mine.withColumn("listed", listed).select(
+            *[F.col(f"`{c}`") for c in rest], "host", "path", fit["rule"].alias("rule"), "listed",
+            F.coalesce(fit["verdict"], F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+        out = judged if out is None else out.unionByName(judged)
+    return out

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from deltaloom.llm.common import stage, with_position
 
 MIN_REVISIT = 100
-#: Bytes of the records of an archive, before they are compressed.
-FILE_BYTES = 16 << 20
+#: Bytes of the records of an archive, before they are compressed: about, and at most unless a single record has more.
+FILE_BYTES, MOST_BYTES = 16 << 20, 1 << 30
+#: Records are written by classes of size, each with its own number of records for an archive.
+CLASSES = (1 << 16, 1 << 24, 1 << 31)
 CHUNK = 1 << 14
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
@@ -76,11 +78,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives below path and returns the plan of the records.
 
-    The payload moves at most once, to meet its row of the plan; where page_id is unique only revisits are asked.
+    page_id has to be an integer.  The payload moves at most once, to meet its row of the plan; where page_id is unique
+    only revisits are asked.  Archives have about file_bytes; as the records of one have at most the size of their class,
+    none is over MOST_BYTES but by a single record.
     """
     plan = stage(plan_records(pages, min_revisit), "op9-plan")
-    total = plan.agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b")).collect()[0]
-    per_file = max(1, int(file_bytes * max(1, total["n"]) / (max(1, total["b"] or 0) + 600 * max(1, total["n"]))))
+    size = lambda body: body + F.coalesce(F.octet_length("url"), F.lit(0)) + 600
+    kind_of = lambda n: F.when(n <= CLASSES[0], 0).when(n <= CLASSES[1], 1).otherwise(2)
+    sizes = pages.select(size(F.coalesce(F.octet_length("html"), F.lit(0))).cast("long").alias("n"))
+    there = sizes.groupBy(kind_of(F.col("n")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("b")).collect()  # at most 3 rows
     html = F.coalesce(F.col("html"), F.lit(""))
     digest = F.sha2(html.cast("binary"), 256)
     # a revisit is told apart by (page_id, digest); repeated rows: as many revisits as the plan has
@@ -113,8 +119,13 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, file_byte
         F.lit("Content-Type: text/html\r\nContent-Length: "),
         F.when(again, "0").otherwise(F.octet_length("html").cast("string")), F.lit("\r\n\r\n"),
         F.when(again, "").otherwise(F.col("html")), F.lit("\r\n\r\n"))
-    zipped = joined.select(record.alias("value")).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-    zipped.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
+    for k, n, total in there:
+        per_file = max(1, min(file_bytes * n // max(1, total), MOST_BYTES // CLASSES[k]))
+        mine = joined.where(kind_of(size(F.octet_length("html"))) == k)
+        zipped = mine.select(record.alias("value")).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        zipped.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
+    if not there:
+        joined.select(record.alias("value")).limit(0).write.text(path)
     return plan
 
 
@@ -239,7 +250,7 @@ def _page(urn: str | None) -> int | None:
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Rows of kind 'record' and 'gap' of all archives below path.
 
-    An archive is read as one value, so archives have to be below 2 GB; `write` makes them of FILE_BYTES.
+    An archive is read as one value, so archives have to be below 2 GB, which `write` sees to.
     payloads: with the payload of responses.  An empty folder gives an empty relation.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -38,3 +38,42 @@ def test_cycles_are_marked(spark):
     seq = {k: r["seq"] for k, r in got.items()}
     assert seq[1, "result", "p"] < seq[1, "call", "after"] and seq[1, "result", "start"] < seq[1, "call", "q"]
     assert sorted(v for k, v in seq.items() if k[0] == 1) == list(range(7)) and seq[2, "call", "self"] == 0
+
+
+def test_null_conversations_are_one(spark):
+    rows = [call(None, 3, "b", "a"), result(None, 4, "b"), call(None, 5, "a"), result(None, 6, "a"), call(7, 0, "a"), (7, 1, "note", None, None, None, None, None)]
+    got = {(r["conversation"], r["kind"], r["call_id"]): r for r in placed(spark, rows)}
+    assert [got[None, k, c]["seq"] for c in "ab" for k in ("call", "result")] == [0, 1, 2, 3]
+    assert {got[None, k, c]["link"] for c in "ab" for k in ("call", "result")} == {"linked"}
+    assert got[7, "call", "a"]["link"] == "unanswered" and got[7, "note", None]["link"] == "message"
+
+
+def test_links(spark):
+    rows = [
+        call(1, 0, "a"), call(1, 1, "a"), result(1, 2, "a"), result(1, 3, "a"), result(1, 4, "lost"), (1, 5, "call", None, "t", None, None, None),
+        (1, 6, "result", None, None, None, None, "r"), (1, None, None, "a", None, None, None, None)]
+    got = {r["position"]: r["link"] for r in placed(spark, rows)}
+    assert got == {0: "linked", 1: "duplicate", 2: "linked", 3: "duplicate", 4: "orphan", 5: "unanswered", 6: "orphan", None: "message"}
+    again = placed(spark, [call(1, 0, "a")] * 2)
+    assert sorted(r["link"] for r in again) == ["duplicate", "unanswered"] and sorted(r["seq"] for r in again) == [0, 1]
+    assert again[0]["errors"] == ["unknown tool"]
+
+
+def test_arguments_and_json(spark):
+    schemas = spark.createDataFrame([
+        ("t", "n", "integer", True), ("t", "x", "number", False), ("t", "b", "boolean", False), ("t", "s", "string", False), ("t", "odd", "date", False),
+        ("t", "n", "integer", True), (None, "n", "string", True)], C.SCHEMA_COLUMNS)
+    cases = [
+        ({"n": "-0", "x": "1.5e3", "b": "true", "s": 'q"\n\u00e9'}, [], '{"b":true,"n":0,"s":"q\\"\\n\u00e9","x":1.5e3}'),
+        ({"n": "5\n", "b": "True"}, ["b is not boolean", "n is not integer"], '{"b":"True","n":"5\\n"}'),
+        ({"z": "1", "odd": "x", "x": "01"}, ["missing n", "odd has no known type", "unexpected z", "x is not number"], '{"odd":"x","x":"01","z":"1"}'),
+        ({}, ["missing n"], "{}"), (None, ["missing n"], None), ({"n": None}, ["missing n"], '{"n":null}')]
+    rows = [(1, k, "call", f"c{k}", "t", a, None, None, "mine", k) for k, (a, _, _) in enumerate(cases)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", json string, extra long")
+    out = C.format_chats(frame, schemas)
+    got = {r["position"]: r for r in out.collect()}
+    assert out.columns.count("json") == 1 and all(r["extra"] == k for k, r in got.items())
+    for k, (_, errors, inside) in enumerate(cases):
+        assert got[k]["errors"] == errors
+        assert got[k]["json"] == "{" + (f'"arguments":{inside},' if inside else "") + f'"id":"c{k}","kind":"call","name":"t"' + "}"
+    assert C.format_chats(frame.limit(0), schemas).count() == 0
