@@ -23,6 +23,8 @@ WORD_BUCKETS = 4096
 STATS = 24
 FEATURES = WORD_BUCKETS + STATS
 MAX_TRAIN = 8_000
+#: Characters of a text that can be a training row.
+MAX_TEXT = 1 << 20
 
 
 def _share(mask: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -184,6 +186,185 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_text: int = MAX_TEXT, max_chars: int = 1 << 26) -> Machine:
+    """Fits on at most max_train labelled rows that aren't held out, the ones with the smallest hash of their id.
+
+    The sample's whole texts come to the driver in id order until max_chars characters; texts of more than max_text are
+    no training rows (they are scored like all others), so one long text can't use that room up.  The three bounds are
+    fixed whatever the corpus's size.  Labels other than 0 and 1 and null ids count for nothing; of several labels of an
+    id the larger holds.  No labels: the machine answers 0.5 for every text.
+    """
+    picked = (
+        labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("quality").alias("_y"))
+        .select("doc_id", "_y", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(max_train)
+    )
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_text)
+    rows = stage(short.join(F.broadcast(stage(picked, "op7-labels")), "doc_id"), "op7-sample")
+    order = ["_h", "doc_id", "_t"]
+    rows = rows.withColumn("_t", F.xxhash64("text"))
+    room, ys, last = max_chars, [], None
+    for r in rows.select(*order, "_y", F.length("text").alias("n")).orderBy(*order).limit(max_train).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        last = r
+        ys.append(r["_y"])
+    if last is None:
+        return fit([], np.zeros(0))
+    # the same first rows again, now with their texts, of which the driver holds a few at a time
+    kept = rows.where(F.struct("_h", "doc_id", "_t") <= F.struct(*(F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in order)))
+    texts = kept.select(*order, "text").orderBy(*order).toLocalIterator()
+    return fit((r["text"].encode() for _, r in zip(ys, texts)), np.array(ys))
+
+
+def score(self, texts: list[bytes]) -> np.ndarray:
+        linear, s, q = self._parts(*features(texts))
+        z = linear + 0.5 * (s * s - q).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(texts: Iterable[bytes], labels: np.ndarray, rank: int = 4, steps: int = 600, seed: int = 7) -> Machine:
+    """Logistic loss, Adam over about `steps` mini-batches in a fixed order: the same rows give the same machine."""
+    rng = np.random.default_rng(seed)
+    n = len(labels)
+    m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.02, (FEATURES, rank)))
+    if n == 0:
+        m.v[:] = 0
+        return m
+    y = labels.astype(np.float64)
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    m.w0 = float(np.log(share / (1 - share)))
+    row, column, value, stats = gathered(texts)
+    first = np.searchsorted(row, np.arange(n + 1))
+    moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("w0", np.zeros(1)), ("w", m.w), ("v", m.v))}
+    step, rate, decay = 0, 0.02, 1e-4
+    batches = max(1, min(n // 16, max(n // 256, 16)))
+    epochs = max(3, -(-steps // batches))
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(n), batches):
+            take = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
+            r = np.repeat(np.arange(len(part)), first[part + 1] - first[part])
+            c, x, d = column[take], value[take], stats[part]
+            linear, s, q = m._parts(r, c, x, d)
+            p = 1 / (1 + np.exp(-np.clip(linear + 0.5 * (s * s - q).sum(axis=1), -30, 30)))
+            g = (p - y[part]) / len(part)
+            gx = g[r] * x
+            gw = np.concatenate([np.bincount(c, weights=gx, minlength=WORD_BUCKETS), d.T @ g])
+            gv = np.empty_like(m.v)
+            for f in range(rank):
+                gv[:WORD_BUCKETS, f] = np.bincount(c, weights=gx * (s[r, f] - m.v[c, f] * x), minlength=WORD_BUCKETS)
+                gv[WORD_BUCKETS:, f] = d.T @ (g * s[:, f]) - (d * d).T @ g * m.v[WORD_BUCKETS:, f]
+            step += 1
+            for key, grad in (("w0", np.array([g.sum()])), ("w", gw + decay * m.w), ("v", gv + decay * m.v)):
+                a, b = moments[key]
+                a *= 0.9
+                a += 0.1 * grad
+                b *= 0.999
+                b += 0.001 * grad * grad
+                move = rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                if key == "w0":
+                    m.w0 -= float(move[0])
+                elif key == "w":
+                    m.w -= move
+                else:
+                    m.v -= move
+        rate *= 0.05 ** (1 / epochs)
+    return m
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 3, is 1; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_text: int = MAX_TEXT) -> Machine:
+    """Fits on at most max_train labelled rows that aren't held out, the ones with the smallest hash of their id.
+
+    Texts of more than max_text characters are no training rows (they are scored like all others), so the sample's whole
+    texts, which the driver reads one by one in id order and keeps as features, are bounded whatever the corpus's size.
+    Labels other than 0 and 1 and null ids count for nothing; of several labels of an id the larger holds.  No labels:
+    the machine answers 0.5 for every text.
+    """
+    picked = (
+        labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("quality").alias("_y"))
+        .select("doc_id", "_y", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(max_train)
+    )
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_text)
+    rows = stage(short.join(F.broadcast(stage(picked, "op7-labels")), "doc_id"), "op7-sample")
+    # repeated ids may be more rows than labels; the first max_train in a total order are the sample
+    texts = rows.orderBy("_h", "doc_id", F.xxhash64("text"), "text").limit(max_train)
+    ys: list[int] = []
+
+    def read() -> Iterator[bytes]:
+        for r in texts.select("_y", "text").toLocalIterator():
+            ys.append(r["_y"])
+            yield r["text"].encode()
+
+    return fit(read(), ys)
+
+
+def score(self, texts: list[bytes]) -> np.ndarray:
+        linear, s, q = self._parts(*features(texts))
+        z = linear + 0.5 * (s * s - q).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(texts: Iterable[bytes], labels: np.ndarray, rank: int = 4, steps: int = 600, seed: int = 7) -> Machine:
+    """Logistic loss, Adam over about `steps` mini-batches in a fixed order: the same rows give the same machine."""
+    rng = np.random.default_rng(seed)
+    n = len(labels)
+    m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.02, (FEATURES, rank)))
+    if n == 0:
+        m.v[:] = 0
+        return m
+    y = labels.astype(np.float64)
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    m.w0 = float(np.log(share / (1 - share)))
+    row, column, value, stats = gathered(texts)
+    first = np.searchsorted(row, np.arange(n + 1))
+    moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("w0", np.zeros(1)), ("w", m.w), ("v", m.v))}
+    step, rate, decay = 0, 0.02, 1e-4
+    batches = max(1, min(n // 16, max(n // 256, 16)))
+    epochs = max(3, -(-steps // batches))
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(n), batches):
+            take = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
+            r = np.repeat(np.arange(len(part)), first[part + 1] - first[part])
+            c, x, d = column[take], value[take], stats[part]
+            linear, s, q = m._parts(r, c, x, d)
+            p = 1 / (1 + np.exp(-np.clip(linear + 0.5 * (s * s - q).sum(axis=1), -30, 30)))
+            g = (p - y[part]) / len(part)
+            gx = g[r] * x
+            gw = np.concatenate([np.bincount(c, weights=gx, minlength=WORD_BUCKETS), d.T @ g])
+            gv = np.empty_like(m.v)
+            for f in range(rank):
+                gv[:WORD_BUCKETS, f] = np.bincount(c, weights=gx * (s[r, f] - m.v[c, f] * x), minlength=WORD_BUCKETS)
+                gv[WORD_BUCKETS:, f] = d.T @ (g * s[:, f]) - (d * d).T @ g * m.v[WORD_BUCKETS:, f]
+            step += 1
+            for key, grad in (("w0", np.array([g.sum()])), ("w", gw + decay * m.w), ("v", gv + decay * m.v)):
+                a, b = moments[key]
+                a *= 0.9
+                a += 0.1 * grad
+                b *= 0.999
+                b += 0.001 * grad * grad
+                move = rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                if key == "w0":
+                    m.w0 -= float(move[0])
+                elif key == "w":
+                    m.w -= move
+                else:
+                    m.v -= move
+        rate *= 0.05 ** (1 / epochs)
+    return m
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 3, is 1; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = 1 << 26) -> Machine:
     """Fits on at most max_train labelled rows that aren't held out, the ones with the smallest hash of their id.
 

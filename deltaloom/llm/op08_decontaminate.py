@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import MAX_BITS, ascii_lower, bitmap, has_bit, let, stage, with_position
+from deltaloom.llm.common import MAX_BITS, ascii_lower, bitmap, free_name, has_bit, let, stage, with_position
 
 WIDTH = 10
 SHINGLE = 3
@@ -113,11 +113,12 @@ def covered(spans: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without any benchmark window, all columns as they are."""
-    keyed = docs.withColumn("_d", F.xxhash64("text"))
-    base, found = hits(keyed, benchmark, width, carry=("doc_id", "_d"))
-    bad = base.join(found.select("_uid").distinct(), "_uid", "left_semi").select(F.col("doc_id").alias("_id"), F.col("_d").alias("_digest")).distinct()
-    return keyed.join(stage(bad, "op8-bad"), F.expr("doc_id <=> _id and _d = _digest"), "left_anti").drop("_d")
+    """The rows of docs without any benchmark window, all columns as they are, whatever their names.  Rows of one doc_id
+    and text go or stay together; null texts and null ids are rows like others; an empty table gives an empty one."""
+    base, found = hits(docs.select("doc_id", "text", F.xxhash64("text").alias("_d")), benchmark, width, carry=("doc_id", "_d"))
+    id_, digest = free_name(docs.columns, "_id"), free_name(docs.columns, "_digest")
+    bad = base.join(found.select("_uid").distinct(), "_uid", "left_semi").select(F.col("doc_id").alias(id_), F.col("_d").alias(digest)).distinct()
+    return docs.join(stage(bad, "op8-bad"), docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(digest)), "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
