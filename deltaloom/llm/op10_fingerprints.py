@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import let, parallelism, stage, with_position
+from deltaloom.llm.common import drop, let, parallelism, stage, with_position
 
 PARAGRAPH = 12
 #: Cells of each of the three tables of a base sketch.
@@ -213,16 +213,18 @@ def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
     return counts.join(left_over, "id", "left_anti").unionByName(rest)
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int | None = None, **made: Column) -> DataFrame:
     """doc_id, text (null: empty) and next_text, the text of the next doc_id in ascending order (after the last:
-    the first).  Null ids sort first; rows with one id are ordered by text.
+    the first); for each of the columns `made` from a row itself also its next_ one.  Null ids sort first; rows with one
+    id are ordered by text.
 
     Rows are dealt by ranges of the id, whose bounds are approximate quantiles, so each task orders its own range
     and texts move once.  The first row of each range is also dealt to the range before it.  Bounds and first ids
     are `buckets` numbers each on the driver, 4 for each shuffle partition unless given.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(made)
+    held = ["text", *made]
     n = buckets or 4 * parallelism(spark)
     cut = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)).collect()[0][0] or []
     cut = sorted(set(cut))
@@ -245,18 +247,19 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     first = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("_b").agg(
         F.min("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).collect())  # one row for each range
     if not first:
-        return rows.withColumn("next_text", F.lit(None).cast("string"))
+        return rows.withColumns({f"next_{c}": F.lit(None).cast(rows.schema[c].dataType) for c in held})
     ghosts = spark.createDataFrame(
         [(b, first[(i + 1) % len(first)][0], first[(i + 1) % len(first)][1], bool(first[(i + 1) % len(first)][2])) for i, (b, _, _) in enumerate(first)],
         "_to int, _from int, _id bigint, _null boolean")
     heads = (
         dealt.join(F.broadcast(ghosts), F.expr("_b = _from and ((_null and doc_id is null) or (not _null and doc_id = _id))"))
-        .groupBy("_to").agg(F.min("text").alias("text"))
-        .select(F.col("_to").alias("_b"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(1).alias("_ghost"))
+        .groupBy("_to").agg(F.min(F.struct(*held)).alias("h"))
+        .select(F.col("_to").alias("_b"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "h.*", F.lit(1).alias("_ghost"))
     )
     order = Window.partitionBy("_b").orderBy("_ghost", "doc_id", "text")
-    both = dealt.withColumn("_ghost", F.lit(0)).select("_b", "doc_id", "text", "_ghost").unionByName(heads)
-    return both.withColumn("next_text", F.lead("text").over(order)).where("_ghost = 0").select("doc_id", "text", "next_text")
+    both = dealt.withColumn("_ghost", F.lit(0)).select("_b", "doc_id", *held, "_ghost").unionByName(heads)
+    after = {f"next_{c}": F.lead(c).over(order) for c in held}
+    return both.withColumns(after).where("_ghost = 0").select("doc_id", *held, *after)
 
 
 def likeness(n_left: Column, plus: Column, minus: Column) -> Column:
@@ -307,12 +310,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of the next document as were dropped, or all it has.
     """
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    pairs = with_next(docs).select(
-        "doc_id", n.cast("long").alias("n_chars"), "text", "next_text",
+    # a text's digests travel with it to the row before, which needs them too
+    pairs = with_next(docs, own=paragraphs(F.coalesce("text", F.lit("")))).select(
+        "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next_own").alias("next"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     keyed = pairs.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"),
-        paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", paragraphs(F.col("edited")).alias("edit"), "next")
     held = with_position(keyed, "_uid")
     sketched = held.withColumns({f"_s_{s}": sketch(F.col(s)) for s in ("own", "edit", "next")})
     printed = sketched.withColumns({
