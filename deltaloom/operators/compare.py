@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Hashes that one leaf of a digest's tree holds, about.
+LEAVES = 4096
+
+
 def long_form(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, property, hash): each column of a row as its own row, hashed as text; null hashes to null."""
     return rows.select(key, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.sha2(F.col(c).cast("string").cast("binary"), 256))])).alias("property", "hash"))
@@ -20,14 +24,26 @@ def property_diff(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
     )
 
 
-def drift(stored: DataFrame, live: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, cls, property, stored_hash, live_hash): managed rows that differ, missing and unmanaged keys."""
-    s, v = long_form(stored, key, columns), long_form(live, key, columns)
-    both = live.select(key)
+def drift(stored: DataFrame, live: DataFrame, key: str, columns: list[str], unscoped: Column | None = None) -> DataFrame:
+    """(key, cls, property, stored_hash, live_hash): managed rows that differ, missing and unmanaged keys, and keys that only
+    live and of which the condition `unscoped` says that nobody decided about them.
+
+    One full join on the key; rows that are equal end there, only the differing ones become rows of properties.  has_drift
+    asks for managed and missing rows alone.
+    """
+    own, other = (x.select(key, F.struct(*columns).alias(n)) for x, n in ((stored, "_s"), (live, "_l")))
+    pairs = own.join(other, key, "full").where("not _s <=> _l")
+    digest_of = lambda side, c: F.sha2(F.col(f"{side}.{c}").cast("string").cast("binary"), 256)
     none = F.lit(None).cast("string")
-    shape = lambda df, cls: df.select(key, F.lit(cls).alias("cls"), none.alias("property"), none.alias("stored_hash"), none.alias("live_hash"))
-    managed = property_diff(s.join(both, key, "left_semi"), v, key).select(key, F.lit("managed").alias("cls"), "property", "stored_hash", "live_hash")
-    return managed.unionByName(shape(stored.join(live, key, "left_anti"), "missing")).unionByName(shape(live.join(stored, key, "left_anti"), "unmanaged"))
+    row = lambda cls, prop, a, b: F.struct(cls.alias("cls"), prop.alias("property"), a.alias("stored_hash"), b.alias("live_hash"))
+    alone = F.when(F.col("_l").isNull(), "missing").otherwise(F.when(unscoped, "unscoped").otherwise("unmanaged") if unscoped is not None else F.lit("unmanaged"))
+    both = F.filter(F.array(*[row(F.lit("managed"), F.lit(c), digest_of("_s", c), digest_of("_l", c)) for c in columns]), lambda r: ~r["stored_hash"].eqNullSafe(r["live_hash"]))
+    found = F.when(F.col("_s").isNull() | F.col("_l").isNull(), F.array(row(alone, none, none, none))).otherwise(both)
+    return pairs.select(key, F.explode(found).alias("r")).select(key, "r.*")
+
+
+def has_drift(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.coalesce(F.max(F.col("cls").isin("managed", "missing")), F.lit(False)).alias("has_drift"))
 
 
 def baseline(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -85,15 +101,49 @@ def new_only(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     return now.join(before, key, "left_anti")
 
 
-def digest(rows: DataFrame, keys: list[str], columns: list[str], groups: list[Column] | None = None) -> DataFrame:
-    """One digest of a relation: sha256 over its rows' sorted sha256; rows are hashed before they meet.
+def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One digest of a relation, whatever the order of its rows: sha256 over its rows' sha256 in order.
 
-    Two levels, so no task sees more than one hash of each of 256 parts and each part's rows.
+    A row is hashed as JSON with its nulls, so values can't run into each other.  Up to LEAVES rows are one list; more are
+    put together in a tree by the first digits of their hashes, of a depth that the number of rows decides, so no task
+    holds more than about LEAVES hashes of a leaf or 256 digests of a node.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]).cast("binary"), 256)
-    parts = rows.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("p")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("digest"))
+    hashed = rows.select(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("h"))
+    count, digits = hashed.count(), 0
+    while count > LEAVES * 256 ** (digits // 2):
+        digits += 2
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "").cast("binary"), 256).alias("h")
+    level = hashed.select(F.substring("h", 1, digits).alias("p"), "h").groupBy("p").agg(joined(F.struct("h")))
+    while digits:
+        digits -= 2
+        level = level.groupBy(F.substring("p", 1, digits).alias("q")).agg(joined(F.struct("p", "h"))).withColumnRenamed("q", "p")
+    return level.select(F.col("h").alias("digest"))
+
+
+def mark_dropped(stored: DataFrame, gone: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """Rows of gone keys get the status dropped; nothing is ever deleted."""
+    marked = gone.select(key, F.lit(True).alias("_gone")).distinct()
+    return stored.join(marked, key, "left").withColumn(status, F.when(F.col("_gone"), "dropped").otherwise(F.col(status))).drop("_gone")
+
+
+def renamed_items(left: DataFrame, right: DataFrame, key: str, value: list[str], name: str) -> DataFrame:
+    """(left name, right name) of items that hold the same value under another name: pairs by name go first, the rest pair by
+    value in the order of names, each once.  A pair is a rename, not a difference."""
+    pairs = greedy_match(left.withColumnRenamed(name, "_n"), right.withColumnRenamed(name, "_n"), "_n", [key, *value])
+    return pairs.where("how = 'value'").select(F.col("left_key").alias("old"), F.col("right_key").alias("new"))
+
+
+def aligned(live: DataFrame, declared: DataFrame, key: list[str]) -> DataFrame:
+    """Live rows whose sub-object somebody declared; the others are not compared."""
+    return live.join(declared.select(*key).distinct(), key, "left_semi")
+
+
+def read_back(stored: DataFrame, live: DataFrame, key: str, skip: DataFrame, gone: DataFrame) -> DataFrame:
+    """`property_diff` without the properties that a reader skips, and one row for each object that is gone or unsupported."""
+    rows = property_diff(stored.join(skip, "property", "left_anti").join(gone, key, "left_anti"), live.join(skip, "property", "left_anti"), key)
+    whole = gone.join(stored.select(key).distinct(), key, "left_semi").select(
+        key, F.lit("*").alias("property"), F.lit(None).cast("string").alias("stored_hash"), F.lit(None).cast("string").alias("live_hash")).distinct()
+    return rows.unionByName(whole)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:

@@ -1,148 +1,418 @@
-"""Graph operators on edge relations.  Loops stage each round: a lost executor costs a round, not the walk."""
+"""Graph operators on edge relations.
+
+Loops over a large graph stage each round: a lost executor costs a round, not the walk.  A graph of at most LOCAL edges
+(counted, never assumed) is walked in one task instead, with the same results; a larger one is first worked down by
+joins, and what is left goes to one task as soon as it is that small.
+"""
 
 from __future__ import annotations
 
 import heapq
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.sources.staging import stage
+from deltaloom.sources.staging import drop, stage
+
+#: Edges that one task walks.
+LOCAL = 200_000
+
+
+def _fits(edges: DataFrame, local: int) -> bool:
+    return edges.limit(local + 1).count() <= local
+
+
+def _one_task(df: DataFrame, walk, schema: str) -> DataFrame:
+    """walk(pandas frame) over all rows of a relation whose size was checked."""
+    return df.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda rows: walk(rows.drop(columns="_one", errors="ignore")), schema)
+
+
+def dependants(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node): what needs one of the asked nodes directly; edges (node, need), asked (node)."""
+    return edges.join(asked.select(F.col("node").alias("need")).distinct(), "need", "left_semi").select("node").distinct()
+
+
+def text_edges(named: DataFrame, objects: DataFrame, after: DataFrame, ignored: DataFrame) -> DataFrame:
+    """(node, need): names in texts and stated ones, without the ignored, among the given objects, no node on itself.
+
+    named, after, ignored: node, schema, name (folded); objects: node, schema, name (folded).
+    """
+    known = objects.select(F.col("node").alias("need"), "schema", "name")
+    found = lambda df: df.join(known, ["schema", "name"]).select("node", "need")
+    return (
+        found(named.select("node", "schema", "name").unionByName(after.select("node", "schema", "name"))).distinct()
+        .join(found(ignored), ["node", "need"], "left_anti").join(objects.select("node"), "node", "left_semi").where("node <> need"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> tuple[DataFrame, bool]:
-    """(node, depth, parent) of all that is reachable from roots(node) over edges (src, dst), and whether the
-    depth cap cut it.  A node counts once, at its least depth, with its smallest parent; cycles end."""
-    seen = stage(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct(), "closure")
-    steps = stage(edges.where("src <> dst").distinct(), "closure-edges")
-    front, capped = seen, False
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 32, local: int = LOCAL) -> tuple[DataFrame, bool]:
+    """(node, depth, parent, path) of all that is reachable from roots(node) over edges (src, dst), and whether the depth
+    cap cut it.  A node counts once, at its least depth, with its smallest parent; path: from the root to the node.
+    Cycles end; an edge of a node on itself is none."""
+    kind = edges.schema["src"].dataType
+    steps = stage(edges.where("src <> dst").select("src", "dst").distinct(), "closure-edges")
+    start = roots.select("node").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast(kind)}).withColumn("path", F.array("node"))
+    seen = front = stage(start, "closure")
+    stages, capped = [], False
     for depth in range(1, max_depth + 2):
         found = (
-            front.select(F.col("node").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-            .join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent")
-        )
+            front.select(F.col("node").alias("src"), "path").join(steps, "src").groupBy(F.col("dst").alias("node"))
+            .agg(F.min(F.struct("src", "path")).alias("m")).join(seen.select("node"), "node", "left_anti")
+            .select("node", F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), F.concat("m.path", F.array("node")).alias("path")))
         front = stage(found, "closure-front")
         if front.isEmpty():
             break
         if depth > max_depth:
             capped = True
             break
+        stages.append(front)
         seen = seen.unionByName(front)
+        if len(stages) == 8:  # keeps the union, and the files that the anti join reads, few
+            whole = stage(seen, "closure")
+            drop(*stages[:-1])
+            seen, stages = whole, [front]
     return seen, capped
 
 
-def level_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, round): each round takes all nodes whose needs (edges node -> need) are done; if none is ready, the
-    smallest of the rest that lies on a cycle."""
-    left = stage(nodes.select("node").distinct(), "levels")
-    needs = stage(edges.where("node <> need").join(left, "node", "left_semi").join(left.withColumnRenamed("node", "need"), "need", "left_semi").distinct(), "levels-needs")
-    done: DataFrame | None = None
-    number = 0
-    while not left.isEmpty():
-        ready = left.join(needs.select("node"), "node", "left_anti")
-        if ready.isEmpty():
-            cyc = scc(needs.select(F.col("node").alias("src"), F.col("need").alias("dst")))
-            ready = cyc.select("node").orderBy("node").limit(1)
-        ready = stage(ready.select("node", F.lit(number).alias("round")), "levels-ready")
-        done = ready if done is None else done.unionByName(ready)
-        left = stage(left.join(ready, "node", "left_anti"), "levels-left")
-        needs = stage(needs.join(ready.select("node"), "node", "left_anti").join(ready.select(F.col("node").alias("need")), "need", "left_anti"), "levels-needs")
-        number += 1
-    return done if done is not None else nodes.select("node", F.lit(0).alias("round")).limit(0)
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 32, local: int = LOCAL) -> DataFrame:
+    """`closure` as one relation with the column capped; in one task where the edges are few."""
+    kind = edges.schema["src"].dataType.simpleString()
+    if not _fits(edges, local):
+        found, capped = closure(edges, roots, max_depth)
+        return found.withColumn("capped", F.lit(capped))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        steps: dict = {}
+        for a, b, root in zip(rows["src"], rows["dst"], rows["root"]):
+            if not root and a != b:
+                steps.setdefault(a, set()).add(b)
+        front = {a: (None, (a,)) for a in sorted(rows["src"][rows["root"]])}
+        seen = {n: (0, *x) for n, x in front.items()}
+        depth, capped = 0, False
+        while front:
+            depth += 1
+            after: dict = {}
+            for n in sorted(front):
+                for m in steps.get(n, ()):
+                    if m not in seen and m not in after:
+                        after[m] = (n, (*seen[n][2], m))
+            if depth > max_depth:
+                capped = bool(after)
+                break
+            seen.update({m: (depth, *x) for m, x in after.items()})
+            front = after
+        return pd.DataFrame({
+            "node": list(seen), "depth": [d for d, _, _ in seen.values()], "parent": pd.array([p for _, p, _ in seen.values()], dtype="Int64" if kind in ("bigint", "int") else None),
+            "path": [list(p) for _, _, p in seen.values()], "capped": capped})
+
+    rows = edges.select("src", "dst", F.lit(False).alias("root")).unionByName(roots.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("root")))
+    return _one_task(rows, walk, f"node {kind}, depth int, parent {kind}, path array<{kind}>, capped boolean")
+
+
+# ---- cycles ----------------------------------------------------------------------------------------------------
 
+def components_of(needs: dict) -> list[set]:
+    """Strongly connected components of two or more nodes, by one walk with a stack of open nodes and one of roots."""
+    order: dict = {}
+    closed: set = set()
+    open_: list = []
+    roots: list = []
+    found: list[set] = []
+    for start in needs:
+        if start in order:
+            continue
+        todo = [(start, iter(needs[start]))]
+        order[start] = len(order)
+        open_.append(start)
+        roots.append(start)
+        while todo:
+            node, rest = todo[-1]
+            for nxt in rest:
+                if nxt not in needs or nxt in closed:
+                    continue
+                if nxt not in order:
+                    order[nxt] = len(order)
+                    open_.append(nxt)
+                    roots.append(nxt)
+                    todo.append((nxt, iter(needs[nxt])))
+                    break
+                while order[roots[-1]] > order[nxt]:  # all since nxt are on one cycle
+                    roots.pop()
+            else:
+                todo.pop()
+                if roots[-1] == node:
+                    roots.pop()
+                    mine: set = set()
+                    while node not in mine:
+                        mine.add(open_.pop())
+                    closed |= mine
+                    if len(mine) > 1:
+                        found.append(mine)
+    return found
 
-def scc(edges: DataFrame) -> DataFrame:
+
+def shortest_cycle(start, component: set, needs: dict) -> list:
+    """The shortest way start -> ... -> start inside a component, neighbours in order."""
+    came: dict = {start: None}
+    line = deque([start])
+    while line:
+        node = line.popleft()
+        for nxt in sorted(set(needs[node]) & component):
+            if nxt == start:
+                path = [start]
+                while node is not None:
+                    path.append(node)
+                    node = came[node]
+                return path[::-1]
+            if nxt not in came:
+                came[nxt] = node
+                line.append(nxt)
+    return []
+
+
+def scc(edges: DataFrame, local: int = 0) -> DataFrame:
     """(node, component) of strongly connected components of two or more nodes; component: its smallest node.
 
-    Trims nodes that no cycle can hold, then colours: the smallest node spreads forward, and of those it
-    reaches, the ones that reach it back are its component; repeated on the rest.
+    Trims nodes that no cycle can hold, then colours: the smallest node spreads forward, and of those it reaches, the ones
+    that reach it back are its component; repeated on the rest.  With `local` edges or fewer left, one task does the
+    rest; 0 keeps to joins.
     """
+    kind = edges.schema["src"].dataType.simpleString()
     live = stage(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
-    out: DataFrame | None = None
-    while True:
-        while True:  # a node on a cycle has edges in and out
-            kept = stage(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-                live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-trim")
-            same = kept.count() == live.count()
-            live = kept
-            if same:
-                break
-        if live.isEmpty():
+    parts: list[DataFrame] = []
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        needs: dict = {}
+        for a, b in zip(rows["src"], rows["dst"]):
+            needs.setdefault(a, []).append(b)
+            needs.setdefault(b, [])
+        out = [(n, min(c)) for c in components_of(needs) for n in c]
+        return pd.DataFrame(out, columns=["node", "component"])
+
+    size = live.count()
+    while size:
+        if size <= local:
+            parts.append(_one_task(live, walk, f"node {kind}, component {kind}"))
             break
-        forward = _spread(live)
-        back = forward.alias("f").where("f.node = f.colour").select("node", "colour")
-        inside = stage(
-            live.join(forward.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src")
-            .join(forward.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour")), "scc-inside")
-        member = back
-        front = back
-        while True:
-            more = stage(
-                inside.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-                .join(member, ["node", "colour"], "left_anti"), "scc-back")
-            if more.isEmpty():
-                break
-            member = stage(member.unionByName(more), "scc-member")
-            front = more
-        found = member.join(member.groupBy("colour").count().where("count > 1").select("colour"), "colour").select("node", F.col("colour").alias("component"))
-        out = stage(found, "scc-found") if out is None else out.unionByName(stage(found, "scc-found"))
-        gone = member.select("node")
-        live = stage(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-live")
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        kept = stage(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+            live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-trim")
+        drop(live)
+        live, before = kept, size
+        size = live.count()
+        if size < before or not size:
+            continue
+        found = stage(_coloured(live), "scc-found")
+        parts.append(found.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component").join(found, "component").select("node", "component"))
+        gone = found.select("node")
+        rest = stage(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-rest")
+        drop(live)
+        live, size = rest, rest.count()
+    if not parts:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach, inside their colour, the node that coloured them."""
+    forward = _spread(edges)
+    inside = stage(
+        edges.join(forward.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src")
+        .join(forward.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour")), "scc-inside")
+    member = front = forward.where("node = colour").select("node", "colour")
+    while True:
+        more = stage(
+            inside.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            .join(member, ["node", "colour"], "left_anti"), "scc-back")
+        if more.isEmpty():
+            return member.select("node", F.col("colour").alias("component"))
+        member = stage(member.unionByName(more), "scc-member")
+        front = more
 
 
 def _spread(edges: DataFrame) -> DataFrame:
     """(node, colour): the smallest node that reaches it."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    colour = stage(nodes.withColumn("colour", F.col("node")), "colour")
+    held = colour = stage(nodes.withColumn("colour", F.col("node")), "colour")
     while True:
         near = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
         after = stage(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "colour")
-        colour = after.select("node", "colour")
+        drop(held)
+        held, colour = after, after.select("node", "colour")
         if after.where("moved").isEmpty():
             return colour
 
 
-def heap_order(edges: DataFrame, nodes: DataFrame, group: str = "part") -> DataFrame:
-    """(part, ord, node): in each part, always the smallest (rank, node) among the nodes whose needs are done.
+def cycle_paths(edges: DataFrame, starts: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(node, path): the shortest cycle through each start, smallest neighbours first.  Components are found first; one task
+    walks one component, which has to fit it."""
+    kind = edges.schema["src"].dataType.simpleString()
+    cyclic = stage(scc(edges, local), "cycle-nodes")
+    inside = stage(
+        edges.join(cyclic.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(cyclic.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        .where("a = b and src <> dst").select(F.col("a").alias("component"), "src", "dst").distinct(), "cycle-edges")
+
+    def walk(key, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        needs: dict = {}
+        for a, b in zip(e["src"], e["dst"]):
+            needs.setdefault(a, set()).add(b)
+        out = [(n, shortest_cycle(n, set(needs), needs)) for n in sorted(s["node"]) if n in needs]
+        return pd.DataFrame(out, columns=["node", "path"])
+
+    asked = starts.select("node").distinct().join(cyclic, "node").select(F.col("node").alias("node"), F.col("component").alias("component"))
+    return inside.groupBy("component").cogroup(asked.groupBy("component")).applyInPandas(walk, f"node {kind}, path array<{kind}>")
+
+
+# ---- orders ----------------------------------------------------------------------------------------------------
+
+def level_order(edges: DataFrame, nodes: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(node, round): each round takes all nodes whose needs (edges node -> need) are done; if none is ready, the
+    smallest of the rest that lies on a cycle."""
+    left = stage(nodes.select("node").distinct(), "levels")
+    needs = stage(edges.where("node <> need").join(left, "node", "left_semi").join(left.withColumnRenamed("node", "need"), "need", "left_semi").select("node", "need").distinct(), "levels-needs")
+    kind = nodes.schema["node"].dataType.simpleString()
+    if _fits(needs, local) and _fits(left, local):
+        def walk(rows: pd.DataFrame) -> pd.DataFrame:
+            wants: dict = {}
+            for n, m, own in zip(rows["node"], rows["need"], rows["own"]):
+                wants.setdefault(n, set())
+                if not own:
+                    wants[n].add(m)
+            done: dict = {}
+            number = 0
+            while wants:
+                ready = [n for n, w in wants.items() if not w]
+                if not ready:
+                    cyclic = set().union(*components_of({n: sorted(w) for n, w in wants.items()}))
+                    ready = [min(cyclic)]
+                gone = set(ready)
+                done.update({n: number for n in ready})
+                wants = {n: w - gone for n, w in wants.items() if n not in gone}
+                number += 1
+            return pd.DataFrame({"node": list(done), "round": list(done.values())})
+
+        rows = needs.select("node", "need", F.lit(False).alias("own")).unionByName(left.select("node", F.col("node").alias("need"), F.lit(True).alias("own")))
+        return _one_task(rows, walk, f"node {kind}, round int")
+    done: DataFrame | None = None
+    number = 0
+    while not left.isEmpty():
+        ready = left.join(needs.select("node"), "node", "left_anti")
+        if ready.isEmpty():
+            cyc = scc(needs.select(F.col("node").alias("src"), F.col("need").alias("dst")), local)
+            ready = cyc.select("node").orderBy("node").limit(1)
+        ready = stage(ready.select("node", F.lit(number).alias("round")), "levels-ready")
+        done = ready if done is None else done.unionByName(ready)
+        rest = stage(left.join(ready, "node", "left_anti"), "levels-left")
+        fewer = stage(needs.join(ready.select("node"), "node", "left_anti").join(ready.select(F.col("node").alias("need")), "need", "left_anti"), "levels-needs")
+        drop(left, needs)
+        left, needs = rest, fewer
+        number += 1
+    return done if done is not None else nodes.select("node", F.lit(0).alias("round")).limit(0)
+
+
+def heap_order(edges: DataFrame, nodes: DataFrame, group: str = "part", strict: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(part, ord, node, note): in each part, always the smallest (rank, node) among the nodes whose needs are done.
 
-    nodes: part, node, rank; edges: part, node, need.  A part has to fit an executor (a release's objects);
-    nodes on a cycle come last with ord null.
+    nodes: part, node, rank; edges: part, node, need.  A part has to fit an executor (a release's objects).  A cycle
+    with a node of a strict rank refuses the part: ord is null for all its nodes and note holds the shortest such cycle of
+    each component.  In other cycles the edges inside are left out, and note says so.
     """
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         rank = dict(zip(n["node"], n["rank"]))
-        needs = {k: set() for k in rank}
-        users: dict = {k: [] for k in rank}
+        needs: dict = {k: set() for k in rank}
         for a, b in zip(e["node"], e["need"]):
-            if a in rank and b in rank and a != b and b not in needs[a]:
+            if a in rank and b in rank and a != b:
                 needs[a].add(b)
-                users[b].append(a)
-        heap = [(rank[k], k) for k, v in needs.items() if not v]
+        refused, note = [], {}
+        for component in sorted(components_of(needs), key=min):
+            hard = sorted(k for k in component if rank[k] in strict)
+            if hard:
+                refused.append(" -> ".join(map(str, shortest_cycle(hard[0], component, needs))))
+                continue
+            for k in component:
+                needs[k] -= component
+                note[k] = "cycle broken in key order: " + ", ".join(map(str, sorted(component)))
+        if refused:
+            every = sorted(rank)
+            return pd.DataFrame({group: [key[0]] * len(every), "ord": pd.array([None] * len(every), "Int64"), "node": every, "note": "refused: " + "; ".join(refused)})
+        users: dict = {k: [] for k in rank}
+        for k, v in needs.items():
+            for m in v:
+                users[m].append(k)
+        left = {k: len(v) for k, v in needs.items()}
+        heap = [(rank[k], k) for k, c in left.items() if not c]
         heapq.heapify(heap)
         out: list = []
         while heap:
             _, k = heapq.heappop(heap)
             out.append(k)
             for u in users[k]:
-                needs[u].discard(k)
-                if not needs[u]:
+                left[u] -= 1
+                if not left[u]:
                     heapq.heappush(heap, (rank[u], u))
-        rest = sorted(set(rank) - set(out))
-        return pd.DataFrame({group: [key[0]] * len(rank), "ord": pd.array([*range(1, len(out) + 1), *[None] * len(rest)], "Int64"), "node": out + rest})
+        return pd.DataFrame({group: [key[0]] * len(out), "ord": pd.array(range(1, len(out) + 1), "Int64"), "node": out, "note": [note.get(k) for k in out]})
 
     part = nodes.schema[group].dataType.simpleString()
-    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, f"{group} {part}, ord long, node {kind}")
+    # columns of their own, as both may come from one relation
+    nodes, edges = (df.select(*[F.col(c).alias(c) for c in columns]) for df, columns in ((nodes, (group, "node", "rank")), (edges, (group, "node", "need"))))
+    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, f"{group} {part}, ord long, node {kind}, note string")
+
+
+def drop_order(ordered: DataFrame, group: str = "part") -> DataFrame:
+    """The order in which nodes go: dependants before what they need, the reverse of `heap_order`."""
+    last = ordered.groupBy(group).agg(F.max("ord").alias("_last"))
+    return ordered.join(last, group).withColumn("ord", F.col("_last") - F.col("ord") + 1).drop("_last")
 
 
 def trim(objects: DataFrame, needs: DataFrame) -> DataFrame:
-    """Objects all of whose needs are there, to a fixpoint: (node)."""
+    """(node, kept, reason): objects all of whose needs are there, to a fixpoint; reason: the smallest need that was
+    missing in the round in which an object went."""
     kept = stage(objects.select("node").distinct(), "trim")
+    gone: DataFrame | None = None
     while True:
-        lacking = needs.join(kept, "node", "left_semi").join(kept.withColumnRenamed("node", "need"), "need", "left_anti").select("node").distinct()
-        lacking = stage(lacking, "trim-lacking")
+        lacking = stage(
+            needs.join(kept, "node", "left_semi").join(kept.withColumnRenamed("node", "need"), "need", "left_anti").groupBy("node").agg(F.min("need").alias("reason")), "trim-lacking")
         if lacking.isEmpty():
-            return kept
-        kept = stage(kept.join(lacking, "node", "left_anti"), "trim")
+            break
+        rest = stage(kept.join(lacking, "node", "left_anti"), "trim")
+        drop(kept)
+        kept, gone = rest, lacking if gone is None else gone.unionByName(lacking)
+    out = kept.select("node", F.lit(True).alias("kept"), F.lit(None).cast(needs.schema["need"].dataType).alias("reason"))
+    return out if gone is None else out.unionByName(gone.select("node", F.lit(False).alias("kept"), "reason"))
+
+
+# ---- dependants of columns and keys ----------------------------------------------------------------------------
+
+def rebuilt_keys(foreign: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(fk): foreign keys whose referenced key is dropped.  foreign: fk, ref_table, ref_columns; dropped: table, columns.
+    Keys meet on the table and the set of columns, whatever their order."""
+    on = dropped.select(F.col("table").alias("ref_table"), F.array_sort("columns").alias("_c")).distinct()
+    return foreign.withColumn("_c", F.array_sort("ref_columns")).join(on, ["ref_table", "_c"], "left_semi").select("fk").distinct()
+
+
+def touched(ops: DataFrame, foreign: DataFrame) -> DataFrame:
+    """(op, object): what an operation changes.  ops: op, kind, object, new_object, column; a renamed table, or column of
+    one, also changes the tables with a foreign key to it.  foreign: object, ref_object, ref_columns."""
+    own = ops.select("op", F.explode(F.array_compact(F.array("object", "new_object"))).alias("object"))
+    renamed = ops.where("kind in ('rename table', 'rename column')").select("op", "kind", "column", F.explode(F.array_compact(F.array("object", "new_object"))).alias("ref_object"))
+    followers = renamed.join(foreign, "ref_object").where("kind = 'rename table' or array_contains(ref_columns, column)").select("op", "object")
+    return own.unionByName(followers).distinct()
+
+
+def bound_blockers(texts: DataFrame, named: DataFrame, bound_on: DataFrame, table: tuple[str, str], column: str) -> DataFrame:
+    """(node, depth): bound modules that hold a column of a table, and those bound on them, upwards.
+
+    texts: node, text; named: node, schema, name (folded), word (an identifier of the text, folded); bound_on: node, need.
+    The texts that lack the column's word are left out before their names are looked at.
+    """
+    schema, name = (x.lower() for x in table)
+    some = texts.where(F.lower("text").contains(column.lower())).select("node")
+    hold = named.join(some, "node", "left_semi").where((F.col("schema") == schema) & (F.col("name") == name)).select("node").distinct()
+    uses = named.where(F.col("word") == column.lower()).select("node").distinct()
+    seeds = hold.join(uses, "node", "left_semi")
+    return reach(bound_on.select(F.col("need").alias("src"), F.col("node").alias("dst")), seeds).select("node", "depth")

@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.operators.numbering import numbered, numbered_in
 from deltaloom.sources.staging import stage
 
+__all__ = [
+    "chunks", "effective_order", "followed", "holes", "latest", "latest_of", "not_rising", "numbered", "replay", "segments", "sessions", "top", "uncleared"]
+
 
 def chunks(rows: DataFrame, part: list[str], order: str, size: int) -> DataFrame:
-    """Adds chunk: runs of `size` rows in order, within each part."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*part).orderBy(order)) - 1) / size))
+    """Adds chunk: runs of `size` rows in order, within each part; a part may hold most of the rows."""
+    return numbered_in(rows, part, [order], "_n").withColumn("chunk", F.floor(F.col("_n") / size)).drop("_n")
+
+
+def top(rows: DataFrame, part: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The n last rows of each part with rank 1..n: first the n last of each of `salts` shares of a part, then those of the part."""
+    down = [F.desc(c) for c in order]
+    some = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy(part, "_salt").orderBy(*down))).where(F.col("rank") <= n).drop("rank", "_salt")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*down))).where(F.col("rank") <= n)
+
+
+def latest_of(rows: DataFrame, part: str, number: str) -> DataFrame:
+    """The row of the highest number of each part, as (part, r)."""
+    return rows.groupBy(part).agg(F.max_by(F.struct(*[c for c in rows.columns if c != part]), number).alias("r"))
+
+
+def followed(names: DataFrame, renames: DataFrame, max_steps: int = 100) -> DataFrame:
+    """(name, last): names followed through renames (seq, old, new), each used after the one before; a name has one rename
+    after a given one, the first."""
+    front = stage(names.select("name", F.col("name").alias("last"), F.lit(-1).cast("long").alias("seq")), "followed")
+    for _ in range(max_steps):
+        step = front.join(renames.select(F.col("seq").alias("at"), F.col("old").alias("last"), "new"), "last").where("at > seq")
+        step = step.groupBy("name").agg(F.min(F.struct("at", "new")).alias("m"))
+        if step.isEmpty():
+            return front.select("name", "last")
+        front = stage(front.join(step, "name", "left").select(
+            "name", F.coalesce("m.new", "last").alias("last"), F.coalesce("m.at", "seq").alias("seq")), "followed")
+    raise ValueError("names are renamed in too many steps")
 
 
 def not_rising(rows: DataFrame, part: str, order: list[str], number: str) -> DataFrame:
@@ -69,17 +99,17 @@ def replay(log: DataFrame, part: str, order: list[str], op: str, allowed: dict[s
     """Folds each part's operations in order through a state machine allowed[state][op] = next state; the first
     operation that the state doesn't allow stops the part: (part, accepted, state, bad_index, bad_op).
 
-    The fold holds one part's log; a log is one entity's, which is small whatever the number of entities.
+    The fold holds one part's operations as an array; a log is one entity's, which is small whatever the number of entities.
     """
-    kind = log.schema[part].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, done = start, 0
-        for name in rows.sort_values(order)[op]:
-            after = allowed.get(state, {}).get(name)
-            if after is None:
-                return pd.DataFrame([(rows[part].iloc[0], done, state, done, name)])
-            state, done = after, done + 1
-        return pd.DataFrame([(rows[part].iloc[0], done, state, None, None)])
-
-    return log.select(part, *order, op).groupBy(part).applyInPandas(run, f"{part} {kind}, accepted long, state string, bad_index long, bad_op string")
+    after = F.create_map(*[x for s, ops in allowed.items() for o, n in ops.items() for x in (F.lit(f"{s}\n{o}"), F.lit(n))])
+    begin = F.struct(F.lit(0).cast("long").alias("accepted"), F.lit(start).alias("state"), F.lit(None).cast("string").alias("bad_op"))
+
+    def step(a, x):
+        to = after[F.concat(a["state"], F.lit("\n"), x[op])]
+        good = F.struct((a["accepted"] + 1).alias("accepted"), to.alias("state"), a["bad_op"].alias("bad_op"))
+        bad = F.struct(a["accepted"].alias("accepted"), a["state"].alias("state"), x[op].alias("bad_op"))
+        return F.when(a["bad_op"].isNotNull(), a).when(to.isNull(), bad).otherwise(good)
+
+    rows = log.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(*order, op))).alias("l"))
+    done = rows.select(part, F.aggregate("l", begin, step).alias("r"))
+    return done.select(part, "r.accepted", "r.state", F.when(F.col("r.bad_op").isNotNull(), F.col("r.accepted")).alias("bad_index"), "r.bad_op")

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.functions import text as X
+from deltaloom.operators.compare import digest
+from deltaloom.operators.numbering import numbered
+
 Rule = Callable[[dict[str, DataFrame]], DataFrame]
 
 
@@ -27,32 +31,35 @@ def allow_mismatches(items: DataFrame, allows: DataFrame, on: list[str]) -> Data
     return a.unionByName(b).distinct()
 
 
-def scope_reason(name, excluded: list[str], included: list[str], regexes: dict[str, str]):
-    """The first reason why a name is out of scope, null if it is in: excluded by name, not listed, else by pattern."""
-    out = F.when(name.isin(excluded), "excluded") if excluded else F.when(F.lit(False), "excluded")
-    if included:
-        out = out.when(~name.isin(included), "not listed")
-    for label, regex in regexes.items():
-        out = out.when(name.rlike(regex), F.lit(f"pattern {label}"))
+def scope_reason(schema, name, schemas: list[str], exclude: list[str], exclude_objects: list[str], not_managed: list[str]):
+    """The first reason why an object is out of scope, null if it is in: its schema is excluded, or not listed (schemas ['*']
+    lists every one), or a pattern fits, those of the scope before those of the environment.  Names are compared folded; a
+    null name stands for the schema itself, which no pattern fits."""
+    owner = X.fold(schema)
+    out = F.when(owner.isin([s.lower() for s in exclude]), "schema excluded") if exclude else F.when(F.lit(False), "")
+    if schemas != ["*"]:
+        out = out.when(~owner.isin([s.lower() for s in schemas]), "schema not listed")
+    for label, patterns in (("exclude_objects", exclude_objects), ("not_managed", not_managed)):
+        for p in patterns:
+            out = out.when(name.isNotNull() & X.glob_matches(p, schema, name), F.lit(f"{label} {p}"))
+    return out
+
+
+def first_pattern(schema, name, patterns: list[str]):
+    """The first pattern that fits an object."""
+    out = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        out = F.when(X.glob_matches(p, schema, name), F.lit(p)).otherwise(out)
     return out
 
 
-def pending(chain: DataFrame, applied: DataFrame, replaced: DataFrame) -> DataFrame:
-    """What a release has to run: (pos, status) of chain (pos, file, sha256) against applied (file, sha256) and
-    replaced (file): diverged, applied, satisfied by a replacement, hole before an applied line, pending."""
-    a = applied.select("file", F.col("sha256").alias("_sha"), F.lit(True).alias("_applied"))
-    r = replaced.select("file", F.lit(True).alias("_replaced")).distinct()
-    joined = chain.join(a, "file", "left").join(r, "file", "left")
-    last = joined.agg(F.max(F.when(F.col("_applied"), F.col("pos"))).alias("_last"))
-    status = (
-        F.when(F.col("_applied") & (F.col("_sha") != F.col("sha256")), "diverged").when(F.col("_applied"), "applied")
-        .when(F.col("_replaced"), "satisfied").when(F.col("pos") < F.col("_last"), "hole").otherwise("pending")
-    )
-    return joined.join(F.broadcast(last)).select("pos", "file", status.alias("status"))  # last: one row
+def ranked(rows: DataFrame, order: dict[str, dict[str, int]], keys: list[str]) -> DataFrame:
+    """rows with ord, their place 0.. in a total order: columns with a table of ranks first, then the keys."""
+    ranks = {f"_r{i}": F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(c)], F.lit(len(table))) for i, (c, table) in enumerate(order.items())}
+    return numbered(rows.withColumns(ranks) if ranks else rows, [*ranks, *keys], "ord").drop(*ranks)
 
 
 def plan_hash(steps: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """One identity of a plan: sha256 of its steps as canonical JSON, in order.  A plan is a release's steps."""
-    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-    rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
-    return steps.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["_t"]), "\n").cast("binary"), 256).alias("plan_hash"))
+    """One identity of a plan: `compare.digest` of its steps with their places, so the same steps in another order are
+    another plan and no task holds all of them."""
+    return digest(numbered(steps, order, "_ord"), ["_ord", *columns]).withColumnRenamed("digest", "plan_hash")

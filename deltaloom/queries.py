@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from deltaloom.functions import text as X
-from deltaloom.functions.tokens import Tokenize
+from deltaloom.functions import tokens
 from deltaloom.operators import compare, graph, ordered
-from deltaloom.plans import rules
+from deltaloom.plans import release, rules
+from deltaloom.registry import QUERIES, SQL, micros, query, table
 from deltaloom.streaming import events as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def micros(df: DataFrame, ts: str = "ts", out: str = "us") -> DataFrame:
-    return df.withColumn(out, F.unix_micros(F.col(ts).cast("timestamp")))
-
 
 # ---- comparisons of snapshots ------------------------------------------------------------------------------
 
 #: A live copy of orders: one key in eleven gone, the status of one in five changed.
-def _orders_live(spark: SparkSession, d: str) -> DataFrame:
+def _orders_live(spark, d):
     o = table(spark, d, "orders")
     return o.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.expr("case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end"))
 
@@ -166,32 +141,33 @@ def snapshot_overlay(spark, d):
     return compare.overlay(s, s.withColumn("s_name", F.concat("s_name", F.lit(" v2"))), "s_nationkey", 7)
 
 
-@query("""with h as (select sha256(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || cast(c_acctbal as decimal(18,2))) as h from customer),
-p as (select substr(h, 1, 2) as p, sha256(string_agg(h, '' order by h)) as d from h group by 1) select sha256(string_agg(d, '' order by p)) as digest from p""")
+@query("""with h as (select sha256('{"bal":' || cast(c_acctbal as decimal(18,2)) || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') as h from customer)
+select sha256(string_agg(h, '' order by h)) as digest from h""")
 def relation_digest(spark, d):
     c = table(spark, d, "customer").withColumn("bal", F.col("c_acctbal").cast("decimal(18,2)"))
-    return compare.digest(c, ["c_custkey"], ["c_custkey", "c_name", "c_nationkey", "bal"])
+    return compare.digest(c, ["c_custkey", "c_name", "c_nationkey", "bal"])
 
 
 # ---- scope, patterns, state --------------------------------------------------------------------------------
 
-@query("""select p_partkey, case when p_name in ('red ring', 'blue widget') then 'excluded' when regexp_matches(p_name, '(?i)^small [^.]*$') then 'pattern small *'
- when regexp_matches(p_name, '(?i)^[^.]*[^.]o[^.]t$') then 'pattern *?o?t' end as reason from part""")
+@query("""select p_partkey, case when p_brand = 'Brand#5' then 'schema excluded' when p_brand not in ('Brand#1', 'Brand#11', 'Brand#12', 'Brand#13', 'Brand#14') then 'schema not listed'
+ when p_name like 'small %' then 'exclude_objects brand#1*.small *' when regexp_matches(p_name, '^.*.o.t$') then 'not_managed *.*?o?t' end as reason from part""")
 def scope_filter(spark, d):
-    patterns = {p: X.glob_to_regex(p) for p in ("small *", "*?o?t")}
-    return table(spark, d, "part").select("p_partkey", rules.scope_reason(F.col("p_name"), ["red ring", "blue widget"], [], patterns).alias("reason"))
+    reason = rules.scope_reason(
+        F.col("p_brand"), F.col("p_name"), ["brand#5", "Brand#1", "Brand#11", "Brand#12", "Brand#13", "brand#14"], ["Brand#5"], ["brand#1*.small *"], ["*.*?o?t"])
+    return table(spark, d, "part").select("p_partkey", reason.alias("reason"))
 
 
-_GROUPS = [("ring", "*ring*"), ("widget", "*widget"), ("red", "red *"), ("small", "small *")]
+_GROUPS = [("ring", "*.*ring*"), ("widget", "*.*widget"), ("red", "Brand#1*.red *"), ("small", "*.SMALL ?*")]
 
 
-@query("""with g(product, rx) as (values ('ring', '(?i)^[^.]*ring[^.]*$'), ('widget', '(?i)^[^.]*widget$'), ('red', '(?i)^red [^.]*$'), ('small', '(?i)^small [^.]*$'))
-select p_partkey, count(*) as n, string_agg(product, ',' order by product) as products from part, g where regexp_matches(p_name, rx) group by 1 having count(*) > 1""")
+@query("""with g(product, s, rx) as (values ('ring', '', 'ring'), ('widget', '', 'widget$'), ('red', 'Brand#1', '^red '), ('small', '', '^small .'))
+select p_partkey, count(*) as n, string_agg(product, ',' order by product) as products from part, g where starts_with(p_brand, s) and regexp_matches(p_name, rx) group by 1 having count(*) > 1""")
 def product_overlap(spark, d):
     # a few patterns: an array of the ones that fit, in one pass, instead of a join on patterns
-    hits = F.array(*[F.when(F.col("p_name").rlike(X.glob_to_regex(g)), F.lit(n)) for n, g in _GROUPS])
-    fit = table(spark, d, "part").select("p_partkey", F.array_sort(F.array_compact(hits)).alias("x"))
-    return fit.where("size(x) > 1").select("p_partkey", F.size("x").cast("bigint").alias("n"), F.array_join("x", ",").alias("products"))
+    named = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("schema"), F.col("p_name").alias("name"))
+    fit = release.products_of(named, _GROUPS).where("size(products) > 1")
+    return fit.select("p_partkey", F.size("products").cast("bigint").alias("n"), F.array_join("products", ",").alias("products"))
 
 
 @query("""select user_id, arg_max(event_id, (epoch_us(ts), event_id)) as event_id, arg_max(event_type, (epoch_us(ts), event_id)) as event_type from events group by 1""")
@@ -294,12 +270,13 @@ def session_gap(spark, d):
 select user_id, count(*) as batches, count(*) filter (where event_type = 'error') as errors, cast(sum(cast(value as decimal(18,2))) as double) as total, arg_max(event_type, (us, event_id)) as last_kind,
  coalesce(string_agg(case when event_type = 'error' and rn <= 3 then cast(event_id as varchar) end, ',' order by rn), '') as last_errors, max(us) - min(us) as span from e group by 1""")
 def trace_summary(spark, d):
-    e = micros(table(spark, d, "events"))
-    last = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("event_type") == "error", F.struct("us", "event_id"))))), 1, 3)
-    return e.groupBy("user_id").agg(
+    e = micros(table(spark, d, "events")).select("user_id", "us", "event_id", "event_type", "value")
+    last = ordered.top(e.where("event_type = 'error'"), "user_id", ["us", "event_id"], 3).groupBy("user_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("last_errors"))
+    sums = e.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("batches"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
-        F.max_by("event_type", F.struct("us", "event_id")).alias("last_kind"), F.array_join(F.transform(last, lambda x: x["event_id"].cast("string")), ",").alias("last_errors"),
-        (F.max("us") - F.min("us")).alias("span"))
+        F.max_by("event_type", F.struct("us", "event_id")).alias("last_kind"), (F.max("us") - F.min("us")).alias("span"))
+    return sums.join(last, "user_id", "left").withColumn("last_errors", F.coalesce("last_errors", F.lit("")))
 
 
 @query("""with recursive c as (select conv_id * 100 + turn as pos, case when turn > 0 and turn % 3 = 0 then conv_id * 100 + turn - 2 end as replaces from conversations),
@@ -328,10 +305,11 @@ def _tree(spark, d):
     return table(spark, d, "customer").where("c_custkey > 0").select(F.floor(F.col("c_custkey") / 2).cast("bigint").alias("src"), F.col("c_custkey").alias("dst"))
 
 
-@query("""with recursive r as (select cast(3 as bigint) as node, 0 as depth, cast(null as bigint) as parent union all
-select c.c_custkey, r.depth + 1, r.node from r join customer c on c.c_custkey // 2 = r.node and c.c_custkey > r.node) select * from r""")
+@query("""with recursive r as (select cast(3 as bigint) as node, 0 as depth, cast(null as bigint) as parent, '3' as path union all
+select c.c_custkey, r.depth + 1, r.node, r.path || '>' || c.c_custkey from r join customer c on c.c_custkey // 2 = r.node and c.c_custkey > r.node) select *, false as capped from r""")
 def closure_paths(spark, d):
-    return graph.closure(_tree(spark, d), spark.createDataFrame([(3,)], "node long"))[0]
+    found = graph.reach(_tree(spark, d), spark.createDataFrame([(3,)], "node long"))
+    return found.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
 
 
 @query("""with recursive r as (select cast(0 as bigint) as node, 0 as round union all select c.c_custkey, r.round + 1 from r join customer c on c.c_custkey // 2 = r.node and c.c_custkey > 0) select * from r""")
@@ -347,37 +325,40 @@ def scc(spark, d):
     cross = c.select(F.col("k").alias("src"), (F.col("k") + 7).alias("dst"))
     top = c.agg(F.max("k").alias("m"))
     edges = ring.unionByName(cross).join(F.broadcast(top)).where("dst <= m").select("src", "dst")
-    return graph.scc(edges)
+    return graph.scc(edges, graph.LOCAL)
 
 
-@query()
+@query("""with n as (select n_regionkey as part, n_name as node, row_number() over (partition by n_regionkey order by n_nationkey) as ord, count(*) over (partition by n_regionkey) as c from nation)
+select part, case when part > 0 then cast(ord as bigint) end as ord, node, case when part = 0 then 'refused: ' || (select string_agg(node, ' -> ' order by node) from n where part = 0 and ord in (1, c)) || ' -> ' || (select min(node) from n where part = 0 and ord in (1, c)) end as note from n""")
 def topo_order(spark, d):
-    n = table(spark, d, "nation")
-    nodes = n.select(F.col("n_regionkey").alias("part"), F.col("n_name").alias("node"), (F.col("n_nationkey") % 3).cast("long").alias("rank"))
-    other = n.select(F.col("n_regionkey").alias("part"), (F.col("n_nationkey") - 5).alias("k"), F.col("n_name").alias("node"))
-    edges = other.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("need")), "k").select("part", "node", "need")
-    return graph.heap_order(edges, nodes)
+    # each nation needs the one before it in its region; in one region the first and the last also need each other
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("part"), F.col("n_name").alias("node"), F.col("n_nationkey").alias("k"))
+    other = n.select("part", F.col("node").alias("need"), F.col("k").alias("b"))
+    before = n.join(other, "part").where("b < k").groupBy("part", "node").agg(F.max_by("need", "b").alias("need"))
+    ends = n.where("part = 0").groupBy("part").agg(F.min_by("node", "k").alias("node"), F.max_by("node", "k").alias("need"))
+    more = ends.unionByName(ends.select("part", F.col("need").alias("node"), F.col("node").alias("need")))
+    return graph.heap_order(before.unionByName(more), n.select("part", "node", (F.col("k") % 2).cast("long").alias("rank")))
 
 
 @query("""with recursive gone as (select c_custkey as node from customer where c_custkey % 50 = 13 union all select c.c_custkey from gone g join customer c on c.c_custkey // 2 = g.node and c.c_custkey > g.node)
-select c_custkey as node from customer where c_custkey not in (select node from gone)""")
+select c_custkey as node, c_custkey not in (select node from gone) as kept, case when c_custkey in (select node from gone) then c_custkey // 2 end as reason from customer where c_custkey % 50 <> 13""")
 def dependency_trim(spark, d):
     t = _tree(spark, d)
     objects = table(spark, d, "customer").where("c_custkey % 50 <> 13").select(F.col("c_custkey").alias("node"))
     return graph.trim(objects, t.select(F.col("dst").alias("node"), F.col("src").alias("need")))
 
 
-@query("""select distinct l_partkey as part, kind, key from (select l_partkey, 'order' as kind, l_orderkey as key from lineitem where l_partkey % 100 = 7
- union all select l_partkey, 'supplier', l_suppkey from lineitem where l_partkey % 100 = 7 union all select p_partkey, 'size', p_size from part where p_partkey % 100 = 7)""")
+@query("""select distinct l_partkey as part, kind, key from (select l_partkey, 'order' as kind, l_orderkey as key from lineitem
+ union all select l_partkey, 'supplier', l_suppkey from lineitem union all select p_partkey, 'size', p_size from part)""")
 def column_dependants(spark, d):
-    l, p = table(spark, d, "lineitem").where("l_partkey % 100 = 7"), table(spark, d, "part").where("p_partkey % 100 = 7")
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
     branch = lambda df, part, kind, key: df.select(F.col(part).alias("part"), F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("key"))
     return branch(l, "l_partkey", "order", "l_orderkey").unionByName(branch(l, "l_partkey", "supplier", "l_suppkey")).unionByName(branch(p, "p_partkey", "size", "p_size")).distinct()
 
 
 # ---- text --------------------------------------------------------------------------------------------------
 
-@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+\n', chr(10), 'g'), '[ \t\n]+$', '')) as sha from documents""")
+@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\x0B\f]+\n', chr(10), 'g'), '[ \t\x0B\f\n]+$', '')) as sha from documents""")
 def normal_form_checksum(spark, d):
     return table(spark, d, "documents").select("doc_id", X.checksum(F.col("text")).alias("sha"))
 
@@ -387,29 +368,28 @@ def line_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("line").cast("bigint").alias("n_chars"))
 
 
-@query(r"""select doc_id from documents where regexp_matches(text, '(?i)(^|[^\w@#$])(password|pwd|secret|token|api_key|apikey|access_key)\s*[=:]\s*["'']?[A-Za-z0-9+/_\-]{8,}')""")
+@query(r"""select doc_id from documents where regexp_matches(text, '(?i)(^|[^\w@#$])(password|secret)\s*=\s*(N?''|0x[0-9a-f])')
+ or regexp_matches(text, '(?i)(password|passwd|pwd|secret|passphrase)\w*[\]"]?(\s+(AS\s+)?\[?[a-z_]+\]?(\s*\([^)]*\))?)?\s*=\s*\(?\s*(N?''|0x[0-9a-f])|(password|pwd)=[^\s;''"@]|(EN|DE)CRYPTBYPASSPHRASE\s*\(\s*N?''')""")
 def secret_scan(spark, d):
-    return table(spark, d, "documents").where(X.has_secret(F.col("text"))).select("doc_id")
+    return table(spark, d, "documents").where(X.secret_in_text(F.col("text"))).select("doc_id")
 
 
-_REDACT = r"regexp_replace(regexp_replace(text, '''[^'']*''', '''***''', 'g'), '\"[^\"]*\"', '''***''', 'g')"
-for _ in range(6):
-    _REDACT = rf"regexp_replace({_REDACT}, '\([^()]+\)', '()', 'g')"
-
-
-@query(rf"select doc_id, substr(trim(regexp_replace(regexp_replace({_REDACT}, '\([^()]+$', '('), '\s+', ' ', 'g')), 1, 300) as message from documents")
+@query(r"""with recursive q as (select doc_id, regexp_replace(regexp_replace(text, '''(?:[^'']|''\w)*(?:''|$)', '<redacted>', 'g'), '"[^"]*(?:"|$)', '<redacted>', 'g') as t from
+  (select doc_id, regexp_replace(text, '(?is)(The duplicate key value is|Truncated value:).*', '\1 <redacted>') as text from documents)),
+r as (select doc_id, t, 0 as n from q union all select doc_id, regexp_replace(t, '\([^()]*\)', '<redacted>', 'g'), n + 1 from r where regexp_matches(t, '\([^()]*\)')),
+l as (select doc_id, arg_max(t, n) as t from r group by 1)
+select doc_id, substr(trim(regexp_replace(regexp_replace(t, '(?s)\(.*', '<redacted>'), '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), 1, 300) as message from l""")
 def redact_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("message"))
 
 
 @query()
 def tokenize_stats(spark, d):
-    from pyspark.sql.functions import col
-
-    spark.udtf.register("tokenize_text", Tokenize)
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    tokens.register(docs)
     docs.createOrReplaceTempView("deltaloom_texts")
-    return spark.sql("select doc_id, kind, count(*) as n, max(line) as lines from deltaloom_texts, lateral tokenize_text(text) group by doc_id, kind").where(col("n") > 0)
+    return spark.sql("""select doc_id, coalesce(kind, problem) as kind, count(*) as n, max(coalesce(line, at_line)) as lines from deltaloom_texts, lateral tokenize_text(text)
+ group by doc_id, coalesce(kind, problem)""")
 
 
 @query(r"""with r as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages), known as (select distinct '/' || regexp_extract(text, '^(\w+)', 1) as target from documents)
@@ -421,14 +401,17 @@ def reference_scan(spark, d):
 
 
 @query("""with e as (select event_id, event_type, cast(json_extract_string(props, '$.k') as integer) as k from events),
-c as (select event_id, case when k % 20 = 1 then 1222 when k % 20 = 2 then 1205 when k % 20 = 3 then 2627 when k % 20 = 4 then 208 when k % 20 = 5 then 99 end as number, case when k % 6 = 0 then '08S01' end as state, event_type as message from e)
-select event_id, case when number = 1222 then 'lock timeout' when number = 1205 then 'deadlock' when number in (2627, 2601) then 'duplicate key' when number in (208, 4902) then 'missing object'
- when starts_with(state, '08') then 'connection lost' when contains(lower(message), 'timeout') then 'timeout' when number is not null then 'other' else 'unknown' end as class from c""")
+c as (select *, case when k % 20 = 1 then 1222 when k % 20 = 2 then 1205 when k % 20 = 3 then 40613 when k % 20 = 4 then 9002 when k % 20 = 5 then 99 end as given, case when k % 6 = 0 then '08S01' end as state,
+ case when event_type = 'view' then 1222 when event_type = 'purchase' then 208 end as known from e), n as (select *, coalesce(given, known) as number from c)
+select event_id, case when number = 9002 then 'governance' when number = 1222 then 'lock_timeout' when number = 1205 then 'deadlock' when event_type = 'click' and number = 40613 then 'transient_connect'
+ when state is not null then 'session_lost' else 'other' end as class,
+ case when event_type = 'view' then 1222 when event_type = 'error' then 4711 when event_type = 'purchase' then 208 end as written from n""")
 def error_classification(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int") % 20
-    number = F.when(k == 1, 1222).when(k == 2, 1205).when(k == 3, 2627).when(k == 4, 208).when(k == 5, 99)
-    state = F.when(F.get_json_object("props", "$.k").cast("int") % 6 == 0, "08S01")
-    return table(spark, d, "events").select("event_id", X.classify_error(number, state, F.col("event_type")).alias("class"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    number = F.when(k % 20 == 1, 1222).when(k % 20 == 2, 1205).when(k % 20 == 3, 40613).when(k % 20 == 4, 9002).when(k % 20 == 5, 99)
+    state, kind = F.when(k % 6 == 0, "08S01"), F.col("event_type")
+    message = F.when(kind == "view", "x: Lock request time out\n period exceeded.").when(kind == "error", "Msg 4711, Level 16").when(kind == "purchase", "[42S02] (0) Invalid object name 't'.").otherwise(kind)
+    return table(spark, d, "events").select("event_id", X.error_class(number, state, message, kind == "click").alias("class"), X.parse_number(message).alias("written"))
 
 
 # ---- rules and plans ---------------------------------------------------------------------------------------
@@ -454,24 +437,8 @@ def allow_matching(spark, d):
     return rules.allow_mismatches(l.where("l_discount > 0.08").select(*on).distinct(), l.where("l_tax > 0.07").select(*on).distinct(), on)
 
 
-_PENDING = """with c as (select p_partkey as pos, p_name || '-' || p_partkey as file, sha256(p_brand || p_partkey) as sha256 from part),
-a as (select file, case when pos % 19 = 0 then 'x' else sha256 end as sha from c where pos % 3 = 0 and pos < 1500), r as (select file from c where pos % 8 = 1), m as (select max(c.pos) m from c join a using (file))
-select c.pos, c.file, case when a.file is not null and a.sha <> c.sha256 then 'diverged' when a.file is not null then 'applied' when r.file is not null then 'satisfied' when c.pos < m.m then 'hole' else 'pending' end as status
-from c left join a using (file) left join r using (file), m"""
-
-
-def _chain(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.concat_ws("-", "p_name", "p_partkey").alias("file"), F.sha2(F.concat("p_brand", F.col("p_partkey").cast("string")).cast("binary"), 256).alias("sha256"))
-
-
-@query(_PENDING)
-def pending_entries(spark, d):
-    c = _chain(spark, d)
-    applied = c.where("pos % 3 = 0 and pos < 1500").select("file", F.expr("case when pos % 19 = 0 then 'x' else sha256 end").alias("sha256"))
-    return rules.pending(c, applied, c.where("pos % 8 = 1").select("file"))
-
-
-@query("""select sha256(string_agg('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', chr(10) order by n_regionkey, n_nationkey)) as plan_hash from nation""")
+@query("""with n as (select *, row_number() over (order by n_regionkey, n_nationkey) - 1 as o from nation),
+h as (select sha256('{"_ord":' || o || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') as h from n) select sha256(string_agg(h, '' order by h)) as plan_hash from h""")
 def plan_identity(spark, d):
     return rules.plan_hash(table(spark, d, "nation"), ["n_regionkey", "n_nationkey"], ["n_name", "n_regionkey"])
 
@@ -529,15 +496,18 @@ def valid_sku(spark, d):
 def stream_windows(spark, d):
     schema = table(spark, d, "events").schema
     stream = streaming.window_counts(streaming.read_events(spark, f"{d}/events.parquet*", schema), "1 hour", "2 hours")
-    out = streaming.drain(stream, "deltaloom_windows", "complete", tempfile.mkdtemp(prefix="deltaloom-stream-"))
+    out = streaming.drain(stream, "complete", "windows")
     return out.select(F.floor(F.unix_micros("begin") / 3600000000).cast("bigint").alias("hour"), "event_type", "n", "total")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict:
+    from deltaloom import queries_catalog, queries_model, queries_release, queries_text  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
