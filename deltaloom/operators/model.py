@@ -445,21 +445,28 @@ def diff(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def replay(base: DataFrame, ops: DataFrame) -> DataFrame:
     """(key, accepted, body, bad_index, problem): each object's operations in order; the first that doesn't fit stops the
-    object.  base: key, body; ops: key, seq, op.  One object's operations are one task's: they are few, however many
+    object.  base: key, body; ops: key, seq, op.  One object's operations are one array: they are few, however many
     objects there are."""
 
-    def run(key: tuple, b: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        body, done = _load(b["body"].iloc[0]) if len(b) else None, 0
-        for text in o.sort_values("seq")["op"]:
-            try:
-                body = apply(body, json.loads(text))
-            except Violation as e:
-                return pd.DataFrame([(key[0], done, ddl.dumps(body) if body else None, done, str(e))], columns=["key", "accepted", "body", "bad_index", "problem"])
-            done += 1
-        return pd.DataFrame({"key": [key[0]], "accepted": [done], "body": [ddl.dumps(body) if body else None], "bad_index": pd.array([None], "Int64"), "problem": [None]})
-
-    own = lambda df, *columns: df.select(*[F.col(c).alias(c) for c in columns]).groupBy("key")
-    return own(base, "key", "body").cogroup(own(ops, "key", "seq", "op")).applyInPandas(run, "key string, accepted long, body string, bad_index long, problem string")
+    def run(parts):
+        for part in parts:
+            rows = []
+            for key, text, todo in zip(part["key"], part["body"], part["ops"]):
+                body, done, problem = _load(text), 0, None
+                for op in todo if todo is not None else ():
+                    try:
+                        body = apply(body, json.loads(op["op"]))
+                    except Violation as e:
+                        problem = str(e)
+                        break
+                    done += 1
+                rows.append((key, done, ddl.dumps(body) if body else None, None if problem is None else done, problem))
+            out = pd.DataFrame(rows, columns=["key", "accepted", "body", "bad_index", "problem"])
+            yield out.astype({"bad_index": "Int64"})
+
+    lists = ops.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("ops")).select(F.col("key").alias("key"), F.col("ops").alias("ops"))
+    whole = base.select(F.col("key").alias("key"), F.col("body").alias("body")).join(lists, "key", "full")
+    return whole.select("key", "body", "ops").mapInPandas(run, "key string, accepted long, body string, bad_index long, problem string")
 
 
 def prove(base: DataFrame, ops: DataFrame, head: DataFrame) -> DataFrame:
