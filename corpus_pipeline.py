@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm import op03_jaccard, op04_packing, op07_quality, op08_decontaminate
-from deltaloom.llm.common import stage
+from deltaloom.llm.common import drop, stage
 from deltaloom.llm.queries import table, tokenizer
 
 
@@ -36,8 +36,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each but the last written to the shared folder; a stage's input goes when its output is
+    there.  An empty table, or a stage that keeps nothing, gives empty results of the same columns."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, step) in enumerate(STAGES):
         out = step(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else stage(out, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return out
+        kept = stage(out, f"pipeline-{name}")
+        drop(docs)
+        docs = kept
     return docs

@@ -1,39 +1,53 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets are banded by size; sets of a band and the next one meet in one instance.  In an instance, similarity bounds
-the Hamming distance by k.  The feature domain is hashed into n1 groups of n2 partitions.  At most k / (k2 + 1)
-groups hold more than k2 differences, so two similar sets agree, in some group, on all but k2 partitions: each set
-emits a signature for each group and each choice of n2 - k2 of its partitions, and similar sets share one.
-
-Empty projections.  A signature of no feature says little, and many sets would share it.  With t spare groups,
-similar sets agree in t + 1 groups, so a set in which at most t groups have an empty choice needs no empty
-signature; a set with more emits them.  This loses no pair.
-
-From signatures to components.  Equal sets are one class, with one representative.  Sets that share a signature
-are compared with the group's most central member, the leader (linear in the group), which links most of a family
-of copies.  Small groups that still mix components are compared pair by pair.  In large ones, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
+Sets are banded by size into instances that overlap, so that any two sizes that similar sets can have lie together in
+one.  In an instance, similarity bounds the Hamming distance by k.  The feature domain is hashed into n1 groups of n2
+partitions.  At most k / (k2 + 1) groups hold more than k2 differences, so two similar sets agree, in some group, on
+all but k2 partitions: each set emits a signature for each group and each choice of n2 - k2 of its partitions, and
+similar sets share one.  k grows with the sets' sizes, so a set needs only as many of the groups as its own largest
+distance asks for; its partners have at least these too.
+
+Spare groups.  With t groups more than that, similar sets share several signatures, whatever the places of their
+differences.  A signature of no feature says little, and many sets would share it: a set with at most z empty
+choices leaves these out, a set with more emits them.  Similar sets then still share a known number r of signatures (at least
+one), while unlike sets mostly share one by chance.  So a set whose signatures with others are fewer than r has no
+similar set, and a pair that shares fewer need not be compared.  None of this loses a pair.
+
+From texts to groups.  Equal sets are one class, with one representative.  Signatures are never stored: a pass over
+the texts emits (signature, class), once for each class that a task meets, one exchange by signature brings them
+together, sorted, and a scan of the sorted rows with a memory of one row keeps the signatures that two classes or
+more share.  Signatures shared by exactly the same classes count as one group.
+
+From groups to components.  The sets of a group are compared with its most central member, the leader (linear in the
+group), which links most of a family of copies.  Small groups that still mix components are compared pair by pair.
+In large ones, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
 is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members that aren't both linked to the leader can be similar only
 if their differences share a known number of features: a prefix-filtered join on the differences, features that
-the leader lacks first, finds those pairs without pairing the members of a group.  Every link decision is by exact
-set sizes.
-
-Members far from their leader (a step that `split` above 0 turns on).  Unlike sets that share a passage share signatures too, and their differences from a
-leader are as large as they are.  1 - similarity is a metric, so a set similar to one below `split` of its leader is
-itself below split + (1 - num / den): all such sets, each once and not once for each leader, are joined on prefixes of
-the features that several components hold.  A set with fewer of those than any similar pair shares drops out.
+the leader lacks first, finds those pairs without pairing the members of a group.  That serves members near the leader.
+Unlike sets that share a passage share signatures too, and their differences are as large as they are.  1 - similarity is
+a metric: with the threshold t, a set similar to one below 2 t - 1 of its leader isn't linked to the leader either.  So all
+members that aren't linked to one of their leaders, each once and not once for each leader, are joined on prefixes of the
+features that several components hold; most drop out before, as a set needs t of its features held so.  Every link
+decision is by exact set sizes.  Both ways of comparing a group are complete; its size only decides which is cheaper.
+
+Links inside a component need not all be tested, so links aren't counted: components are exact, and a family of m
+similar texts costs about m comparisons and not m squared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import stage, with_position
+from deltaloom.llm.common import drop, free_name, stage, with_position
 from deltaloom.llm.components import components
 from deltaloom.llm.textvec import Words, chunks, mix
 
@@ -49,28 +63,46 @@ class Plan:
     den: int = 10
     n2: int = 3
     k2: int = 1
-    split: float = 0.0
 
-    def bands(self, largest: int) -> list[tuple[int, int]]:
-        """(smallest, largest) size of each band: sizes of similar sets lie in one band or in two that follow."""
+    def instances(self, largest: int) -> list[tuple[int, int]]:
+        """(smallest, largest) size of each instance.  One ends where the ratio of two bands does; the next begins with
+        the first size that has partners beyond that end."""
         out, low = [], 1
         while low <= largest:
-            high = max(low, low * self.den // self.num)
+            high = max(low, low * self.den**2 // self.num**2)
             out.append((low, high))
-            low = high + 1
+            low = -(-(high + 1) * self.num // self.den)
         return out
 
-    def distance(self, high: int) -> int:
-        """Largest Hamming distance of similar sets of at most `high` features."""
-        return 2 * high * (self.den - self.num) // (self.den + self.num)
+    def distance(self, a: int, b: int) -> int:
+        """Largest Hamming distance of similar sets of a and b features."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
+    def need(self, n: int, high: int) -> int:
+        """Groups that a set of n features needs in an instance: one more than its similar sets can spoil."""
+        return self.distance(n, min(high, n * self.den // self.num)) // (self.k2 + 1) + 1
+
+    def groups(self, low: int, high: int) -> tuple[int, int, int]:
+        """(n1, t, z): groups, of which t are spare; sets with at most z empty choices leave these out."""
+        return _groups(self, low, high)
+
+    def least_shared(self, n1: int, k: int) -> int:
+        """Signatures that sets at distance k share at least: differences do most harm where each is the first, then the
+        second of its group, and in a partition of its own."""
+        left = [comb(self.n2 - d, self.n2 - self.k2) if d <= self.k2 else 0 for d in range(self.k2 + 2)]
+        out = n1 * left[0]
+        for d in range(self.k2 + 1):
+            hit = min(k, n1)
+            out, k = out - hit * (left[d] - left[d + 1]), k - hit
+        return out
 
-    def groups(self, high: int) -> tuple[int, int]:
-        """(n1, t): groups, of which t are spare."""
-        need = self.distance(high) // (self.k2 + 1) + 1
-        load = high * self.num / self.den / (need * self.n2) * (self.n2 - self.k2)
-        empty = need * len(self.choices()) * float(np.exp(-load))
-        spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
-        return need + spare, spare
+    def shared(self, sizes: np.ndarray) -> np.ndarray:
+        """For sets of these sizes, signatures that they share with any similar set at least."""
+        out = np.full(len(sizes), 1 << 20)
+        for low, high in self.instances(int(sizes.max(initial=1))):
+            inside = (sizes >= low) & (sizes <= high)
+            out[inside] = np.minimum(out[inside], _promised(self, low, high))
+        return out
 
     def choices(self) -> list[tuple[int, ...]]:
         return list(combinations(range(self.n2), self.n2 - self.k2))
@@ -80,6 +112,27 @@ class Plan:
         return common * self.den >= (a + b - common) * self.num
 
 
+@lru_cache(maxsize=None)
+def _groups(plan: Plan, low: int, high: int) -> tuple[int, int, int]:
+    need = plan.need(high, high)
+    more = need // 8
+    choices = (need + more) * len(plan.choices())
+    empty = choices * float(np.exp(-((low * high) ** 0.5) * (plan.n2 - plan.k2) / ((need + more) * plan.n2)))
+    z = int(np.ceil(empty + 3 * np.sqrt(empty)))
+    t = more
+    while min(plan.least_shared(k // (plan.k2 + 1) + 1 + t, k) for k in range(plan.distance(high, high) + 1)) <= z:
+        t += 1
+    return need + t, t, z
+
+
+@lru_cache(maxsize=None)
+def _promised(plan: Plan, low: int, high: int) -> int:
+    if plan.distance(high, high) == 0:
+        return 1 << 20  # similar sets of these sizes are equal
+    _, t, z = plan.groups(low, high)
+    return min(plan.least_shared(k // (plan.k2 + 1) + 1 + t, k) for k in range(plan.distance(high, high) + 1)) - z
+
+
 def distinct_shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of the distinct k-word shingles of a run of texts, by doc, then hash."""
     doc, h = Words(texts).shingles(k)
@@ -90,61 +143,132 @@ def distinct_shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarra
     return doc[new], h[new]
 
 
-def signatures(h: np.ndarray, plan: Plan, bands: list[tuple[int, int]]) -> np.ndarray:
+def signatures(h: np.ndarray, plan: Plan, instances: list[tuple[int, int]]) -> np.ndarray:
     """Signatures of one set of distinct hashes."""
     n = len(h)
     if n == 0:
         return np.zeros(0, _U)
-    band = next(i for i, (low, high) in enumerate(bands) if low <= n <= high)
     out = []
     spread, place = mix(h), mix(h ^ _U(0x5851F42D4C957F2D))
-    for instance in (band, band + 1):
-        low, high = bands[instance]
-        if plan.distance(high) == 0:  # similar sets are equal
+    for number, (low, high) in enumerate(instances):
+        if not low <= n <= high or plan.distance(high, high) == 0:  # at distance 0 similar sets are equal
             continue
-        n1, spare = plan.groups(high)
-        cells = n1 * plan.n2
-        cell = (place % _U(cells)).astype(np.int64)
+        n1, spare, z = plan.groups(low, high)
+        own = min(n1, plan.need(n, high) + spare)
+        cell = (place % _U(n1 * plan.n2)).astype(np.int64)
+        cells = own * plan.n2
         order = np.argsort(cell, kind="stable")
         sums = np.concatenate(([_U(0)], np.cumsum(spread[order], dtype=_U)))
         edge = np.searchsorted(cell[order], np.arange(cells + 1))
-        total = (sums[edge[1:]] - sums[edge[:-1]]).reshape(n1, plan.n2)
-        size = np.diff(edge).reshape(n1, plan.n2)
+        total = (sums[edge[1:]] - sums[edge[:-1]]).reshape(own, plan.n2)
+        size = np.diff(edge).reshape(own, plan.n2)
         made, none = [], []
-        group = mix(_U(instance) * _U(0x100000001B3) + np.arange(n1, dtype=_U))
+        group = mix(_U(number) * _U(0x100000001B3) + np.arange(own, dtype=_U))
         for c, choice in enumerate(plan.choices()):
             made.append(mix(mix(total[:, choice].sum(axis=1, dtype=_U)) ^ (group + _U(c))))
             none.append(size[:, choice].sum(axis=1) == 0)
         made, none = np.stack(made), np.stack(none)
         keep = ~none
-        if none.any(axis=0).sum() > spare:
+        if none.sum() > z:
             keep |= True
         out.append(made[keep])
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+@dataclass
+class SetsOf:
+    """The shingle sets of a run of texts: hashes by text, sizes, and two sums of hashes that tell sets apart."""
+
+    h: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+    cls: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], k: int) -> "SetsOf":
+        doc, h = distinct_shingles(texts, k)
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        n = np.diff(first)
+        sums = lambda x: (s := np.concatenate(([_U(0)], np.cumsum(x, dtype=_U))))[first[1:]] - s[first[:-1]]
+        h1, h2 = sums(mix(h)), sums(mix(h ^ _U(0x2545F4914F6CDD1D)))
+        return cls(h, first, n.astype(np.int64), h1.view(np.int64), h2.view(np.int64), mix(h1 ^ mix(h2 ^ mix(n.astype(_U)))).view(np.int64))
+
+
 def features(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, digest (of the text), n (set size), h1, h2 (the set's digest), sigs for each row."""
+    """doc_id, digest (of the text), n (set size), h1, h2, cls (the set's digests), r (`Plan.shared`) for each row."""
 
     def run(batches):
         for part, texts in chunks(batches, 1):
-            doc, h = distinct_shingles(texts, plan.words)
-            first = np.searchsorted(doc, np.arange(len(texts) + 1))
-            n = np.diff(first)
-            sums = lambda x: (s := np.concatenate(([_U(0)], np.cumsum(x, dtype=_U))))[first[1:]] - s[first[:-1]]
-            h1, h2 = sums(mix(h)), sums(mix(h ^ _U(0x2545F4914F6CDD1D)))
-            bands = plan.bands(2 * max(1, int(n.max(initial=1))) * plan.den // plan.num + 2)
-            sigs = [signatures(h[a:b], plan, bands) for a, b in zip(first[:-1], first[1:])]
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, _U)
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "digest", "n", "h1", "h2", "sigs"])
+            s = SetsOf.of(texts, plan.words)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), *(pa.array(x) for x in (s.n, s.h1, s.h2, s.cls, plan.shared(s.n)))],
+                names=["doc_id", "digest", "n", "h1", "h2", "cls", "r"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return rows.mapInArrow(run, f"doc_id {kind}, digest bigint, n bigint, h1 bigint, h2 bigint, sigs array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest bigint, n bigint, h1 bigint, h2 bigint, cls bigint, r bigint")
+
+
+def shared_signatures(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(sig, cls) of the signatures that sets of two classes or more have."""
+
+    def emit(batches):
+        seen: set[tuple] = set()  # classes of this task's rows
+        for _, texts in chunks(batches, 0):
+            s = SetsOf.of(texts, plan.words)
+            instances = plan.instances(int(s.n.max(initial=1)))
+            for i, key in enumerate(zip(s.h1.tolist(), s.h2.tolist())):
+                if s.n[i] == 0 or key in seen:
+                    continue
+                seen.add(key)
+                sig = signatures(s.h[s.first[i]:s.first[i + 1]], plan, instances).view(np.int64)
+                for at in range(0, len(sig), 1 << 20):
+                    run = sig[at:at + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(np.full(len(run), s.cls[i]))], names=["sig", "cls"])
+
+    made = docs.select("text").mapInArrow(_gathered(emit), "sig bigint, cls bigint")
+    return made.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_of_several, "sig bigint, cls bigint")
+
+
+def _gathered(emit):
+    """emit's small batches put together to at least 64K rows."""
+
+    def run(batches):
+        held, rows = [], 0
+        for b in emit(batches):
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 1 << 16:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, cls) sorted by both: each row once, if its signature has another class."""
+    last: tuple[int, int] | None = None  # the row before, and whether it is out already
+    out_already = False
+    for b in batches:
+        sig, cls = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if last is not None:
+            sig, cls = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], cls))
+        if not len(sig):
+            continue
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+        sig, cls = sig[new], cls[new]
+        same = np.concatenate(([False], sig[1:] == sig[:-1]))
+        emit = same | np.concatenate((same[1:], [False]))
+        if last is not None:
+            emit[0] &= not out_already
+        out_already = bool(same[-1]) if len(sig) > 1 or last is None else out_already
+        last = (int(sig[-1]), int(cls[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[emit]), pa.array(cls[emit])], names=["sig", "cls"])
 
 
 def sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -159,21 +283,32 @@ def sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches):
         for part, texts in chunks(batches, 1):
-            doc, h = distinct_shingles(texts, plan.words)
-            first = np.searchsorted(doc, np.arange(len(texts) + 1))
-            sums = np.concatenate(([_U(0)], np.cumsum(mix(h), dtype=_U)))
-            h1 = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
-            same = (h1 == part.column(3).to_numpy(zero_copy_only=False)) & (np.diff(first) == part.column(2).to_numpy(zero_copy_only=False))
+            s = SetsOf.of(texts, plan.words)
+            lists = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(s.h.view(np.int64)))
+            same = (s.h1 == part.column(3).to_numpy(zero_copy_only=False)) & (s.n == part.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "h"]).filter(pa.array(same))
 
     return rows.mapInArrow(run, "rep bigint, h array<bigint>")
 
 
+#: Pairs of one set that are compared in one task, at about most; a leader of more is dealt out in parts.
+PAIRS = 512
+
+
 def compared(pairs: DataFrame, held: DataFrame, extra: Column, name: str) -> DataFrame:
-    """pairs (a, b, ...) with the expression `extra` over the sets ha and hb; held: rep, h."""
+    """Staged pairs (a, b, ...) with the expression `extra` over the sets ha and hb; held: rep, h."""
     left, right = held.select(F.col("rep").alias("a"), F.col("h").alias("ha")), held.select(F.col("rep").alias("b"), F.col("h").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, extra.alias(name))
+    hot = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRS).select(
+        "a", F.ceil(F.col("c") / PAIRS).cast("int").alias("_parts")), "op3-hot")
+    on = ["a"]
+    if not hot.isEmpty():
+        on = ["a", "_part"]
+        pairs_, left = (x.join(hot, "a", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))) for x in (pairs, left))
+        dealt = pairs_.withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int"))
+        left = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    else:
+        dealt = pairs
+    return dealt.join(left, on).join(right, "b").select(*pairs.columns, extra.alias(name))
 
 
 #: Groups up to this size are compared pair by pair.
@@ -185,96 +320,129 @@ def _size_filter(a: str, b: str, plan: Plan) -> str:
 
 
 def near_groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of docs.
+    """doc_id, n_shingles, component_id, n_equal for each row of docs.
 
-    component_id: smallest doc_id that links reach.  n_links: links found to other texts' classes, plus one if
-    copies exist.  Null texts and texts without words have no shingles and link to nothing, not even each other.
-    Repeated rows are copies.  Null doc_ids take part but are never a component's id unless it has no other.
+    component_id: smallest doc_id that links reach.  n_equal: rows with the same set, this one included.  Null texts
+    and texts without words have no shingles and link to nothing, not even each other.  Repeated rows are copies.
+    Null doc_ids take part but are never a component's id unless it has no other.  An empty relation gives an empty
+    one; columns other than doc_id and text are not looked at, whatever their names.
     """
-    return groups_of(docs, plan).select("doc_id", "n_shingles", "component_id", "n_links")
+    return groups_of(docs, plan).select("doc_id", "n_shingles", "component_id", "n_equal")
 
 
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """One row of docs of each component, all columns: the smallest doc_id's (of its texts the one with the
+    """One row of docs of each component, all columns as they are: the smallest doc_id's (of its texts the one with the
     smallest digest, of repeated rows any).  Rows without shingles all stay."""
     found = stage(groups_of(docs, plan), "op3-rows")
+    id_, digest = free_name(docs.columns, "_id"), free_name(docs.columns, "_digest")
     first = found.where("n_shingles > 0").groupBy("group").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "doc_id", "digest")).alias("k")).select("k.doc_id", "k.digest")
     empty = found.where("n_shingles = 0").select("doc_id", "digest").distinct()
-    keys = stage(first.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "op3-keep")
-    same = F.expr("doc_id <=> _id and _d = _digest")
-    kept = docs.withColumn("_d", F.xxhash64("text")).join(keys, same, "left_semi")
-    again = (
-        found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    )
-    again = stage(again, "op3-repeated")
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+    keys = stage(named(first.unionByName(empty)), "op3-keep")
+    again = stage(named(found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")), "op3-repeated")
+    drop(found)
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(digest))
+    kept = docs.join(keys, same, "left_semi")
     if again.isEmpty():
-        return kept.drop("_d")
-    one = kept.join(again, same, "left_semi").groupBy("doc_id", "_d").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(again, same, "left_anti").drop("_d").unionByName(one)
+        return kept
+    one = kept.join(again, same, "left_semi")
+    one = one.groupBy("doc_id", F.xxhash64("text").alias(digest)).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(id_)).select(f"{id_}.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     """near_groups with group (a number for each component, null without shingles) and the text's digest."""
     feats = stage(with_position(features(docs, plan), "uid"), "op3-features")
     key = ["n", "h1", "h2"]
-    classes = feats.where("n > 0").groupBy(*key).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "uid"))["uid"].alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes, "op3-classes")
-    # uid is unique, so the row of a representative is met by it alone
-    reps = stage(classes.join(feats.select("uid", "doc_id", "digest", "sigs"), F.expr("rep = uid")).drop("uid"), "op3-reps")
-
-    exploded = reps.select("rep", "n", F.explode("sigs").alias("sig"))
-    shared = exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    groups = stage(exploded.join(shared, "sig"), "op3-groups")
-    central = groups.groupBy("rep").agg(F.sum("c").alias("w"))
+    classes = stage(feats.where("n > 0").groupBy(*key, "cls", "r").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "uid"))["uid"].alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "op3-classes")
+
+    shared = stage(shared_signatures(docs, plan), "op3-shared")
+    marks = shared.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    one = marks.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times")).select("sig", "c", "times")
+    groups = stage(shared.join(one, "sig").join(classes.select("cls", "rep", "n", "r"), "cls").select("sig", "c", "times", "rep", "n", "r"), "op3-groups")
+    drop(shared)
+    groups = _pruned(groups, "op3-pruned")
+    central = groups.groupBy("rep").agg(F.sum(F.col("c") * F.col("times")).alias("w"))
     leaders = groups.join(central, "rep").groupBy("sig").agg(F.max(F.struct("w", "rep", "n")).alias("m"))
-    led = stage(groups.join(leaders, "sig").select("sig", "c", "rep", "n", "m.w", F.col("m.rep").alias("lead"), F.col("m.n").alias("ln")), "op3-led")
+    led = stage(groups.join(leaders, "sig").select("sig", "c", "times", "rep", "n", "r", "m.w", F.col("m.rep").alias("lead"), F.col("m.n").alias("ln")), "op3-led")
+    drop(groups)
     others = led.where("rep <> lead")
     common = F.size(F.array_intersect("ha", "hb"))
     is_link = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
 
     # first each set with the most central of its leaders, then with its leaders in groups that are still mixed
-    best = stage(
+    asked = stage(
         others.groupBy("rep").agg(F.max(F.struct("w", "lead", "ln")).alias("m"), F.first("n").alias("nb"))
         .select(F.col("m.lead").alias("a"), F.col("rep").alias("b"), F.col("m.ln").alias("na"), "nb"), "op3-best")
     ends = others.select("lead").unionByName(others.select(F.col("rep").alias("lead"))).distinct().withColumnRenamed("lead", "rep")
-    held = stage(sets(docs, reps.join(ends, "rep", "left_semi").select("doc_id", "digest", "rep", "n", "h1", "h2"), plan), "op3-sets")
-    best = stage(compared(best, held, common, "common"), "op3-compared")
-    labels = stage(components(best.where(is_link).select("a", "b"), "op3-first"), "op3-labels")
-    tagged = led.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # uid is unique, so the row of a representative is met by it alone
+    wanted = stage(
+        classes.select("rep", *key).join(ends, "rep", "left_semi").join(feats.select("uid", "doc_id", "digest"), F.expr("rep = uid")).drop("uid"), "op3-ends")
+    held = sets(docs, wanted, plan)
+    if not feats.join(wanted.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        held = held.dropDuplicates(["rep"])  # repeated rows
+    held = stage(held, "op3-sets")
+    drop(wanted)
+    best = stage(compared(asked, held, common, "common"), "op3-compared")
+    drop(asked)
+    first = components(best.where(is_link).select("a", "b"), "op3-first")
+    tagged = led.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     open_ = stage(tagged.join(mixed, "sig"), "op3-open")
-
-    # a small group's pairs: at most (SMALL - 1) / 2 for each member
-    x, y = (open_.where(F.col("c") <= SMALL).select("sig", *(F.col(n).alias(n + e) for n in ("rep", "n", "label"))) for e in "xy")
-    few = (
-        x.join(y, "sig").where("labelx < labely").where(_size_filter("nx", "ny", plan))
-        .select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    )
-    few = stage(compared(stage(few, "op3-few"), held, common, "common").where(is_link).select("a", "b"), "op3-few-links")
+    drop(led, first)
+    open_ = _pruned(open_, "op3-open")
+
+    # a small group's pairs: at most (SMALL - 1) / 2 for each member.  A pair that shares a large group is met there, so
+    # one that only small groups have has to have all its signatures in these
+    x, y = (open_.where(F.col("c") <= SMALL).select("sig", "times", *(F.col(n).alias(n + e) for n in ("rep", "n", "r", "label"))) for e in "xy")
+    few = stage(
+        x.join(y.drop("times"), "sig").where("labelx < labely").where(_size_filter("nx", "ny", plan))
+        .groupBy(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+        .agg(F.sum("times").alias("m"), F.max(F.greatest("rx", "ry")).alias("r")).where("m >= r").drop("m", "r"), "op3-few")
+    few_links = stage(compared(few, held, common, "common").where(is_link).select("a", "b"), "op3-few-links")
+    drop(few)
 
     # a large group's members with its leader
-    wanted = open_.where(F.col("c") > SMALL).where("rep <> lead").select(
+    asked = open_.where(F.col("c") > SMALL).where("rep <> lead").select(
         F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("ln").alias("na"), F.col("n").alias("nb")).distinct()
-    wanted = stage(wanted.join(best.select("a", "b", "common"), ["a", "b"], "left"), "op3-wanted")
-    star = stage(
-        wanted.where("common is not null").unionByName(compared(wanted.where("common is null").drop("common"), held, common, "common")), "op3-star")
-    near = best.where(is_link).select("a", "b").unionByName(star.where(is_link).select("a", "b")).unionByName(few).distinct()
-    links = stage(near, "op3-links")
-    labels = stage(components(links, "op3-star"), "op3-labels")
-
-    likeness = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    cross = _cross_pairs(star.where(likeness >= plan.split) if plan.split else star, held, labels, plan)
-    if plan.split:
-        far = star.where(likeness < plan.split + 1 - plan.num / plan.den + 1e-9).select(F.col("b").alias("rep"), F.col("nb").alias("n")).distinct()
-        cross = stage(cross.unionByName(_far_pairs(far, held, labels, plan)).distinct(), "op3-both")
+    asked = stage(asked.join(best.select("a", "b", "common"), ["a", "b"], "left"), "op3-wanted")
+    drop(open_)
+    todo = stage(asked.where("common is null").drop("common"), "op3-todo")
+    star = stage(asked.where("common is not null").unionByName(compared(todo, held, common, "common")), "op3-star")
+    drop(asked, todo)
+    links = stage(
+        best.where(is_link).select("a", "b").unionByName(star.where(is_link).select("a", "b")).unionByName(few_links).distinct(), "op3-links")
+    drop(best, few_links)
+    labels = components(links, "op3-star")
+
+    # a pair of which one is less alike to the leader than 2 t - 1 (t: the threshold) has none that is linked to it
+    t, likeness = plan.num / plan.den, F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    near = _cross_pairs(star.where(likeness >= 2 * t - 1 - 1e-9), held, labels, plan)
+    far = _far_pairs(star.where(~is_link).select(F.col("b").alias("rep"), F.col("nb").alias("n")).distinct(), held, labels, plan)
+    cross = stage(near.unionByName(far).distinct(), "op3-both")
+    drop(near, far)
     more = stage(compared(cross, held, common, "common").where(is_link).select("a", "b"), "op3-cross")
+    drop(star, held, cross)
     if not more.isEmpty():
-        links = stage(links.unionByName(more), "op3-all-links")
-        labels = stage(components(links, "op3-second"), "op3-labels2")
-    return _members(feats, classes, links, labels)
+        labels = components(links.unionByName(more), "op3-second")
+    drop(links, more)
+    return _members(feats, classes, labels)
+
+
+def _pruned(groups: DataFrame, name: str) -> DataFrame:
+    """groups (sig, rep, c, times, r, ...) without the sets that share fewer signatures than a similar set would make them,
+    and without the groups that are left with one; twice, as groups that go take signatures from others."""
+    for _ in range(2):
+        enough = groups.groupBy("rep").agg(F.sum("times").alias("s"), F.max("r").alias("r")).where("s >= r").select("rep")
+        kept = groups.join(enough, "rep", "left_semi")
+        left = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        after = stage(kept.drop("c").join(left, "sig"), name)
+        drop(groups)
+        groups = after
+    return groups
 
 
 def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
@@ -284,14 +452,12 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     at least (hx + hy - k) / 2 features of D.  Lower bounds of that for any partner of x: hx - k (as hy >= hx - k),
     and, where x is linked to the leader and so its partner is not, with hy above the leader's distance.  x then
     needs the first hx - bound + 1 features of D(x), in an order that all members share.  The places of a shared
-feature bound what the two differences can share from there on; a pair's first shared feature passes that bound.
+    feature bound what the two differences can share from there on; a pair's first shared feature passes that bound.
     """
     by_rep = labels.withColumnRenamed("node", "rep")
     own = star.join(by_rep.withColumnRenamed("rep", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     lead = by_rep.withColumnRenamed("rep", "a").withColumnRenamed("label", "top")
     tagged = own.join(lead, "a", "left").withColumn("top", F.coalesce("top", "a"))
-    open_ = tagged.where("label <> top").select("a").distinct()
-    family = stage(tagged.join(open_, "a", "left_semi"), "op3-family")
     part, whole = plan.den - plan.num, plan.den + plan.num
     partner = F.floor(F.col("nb") * plan.den / plan.num)  # largest size of a similar set
     h = F.col("na") + F.col("nb") - 2 * F.col("common")
@@ -299,28 +465,37 @@ feature bound what the two differences can share from there on; a pair's first s
     least_partner = F.ceil(F.col("nb") * plan.num / plan.den)
     beyond = F.floor((F.col("na") + least_partner) * part / whole) + 1
     linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
+    # a member of the leader's component has partners in other components only if its h reaches the least h - k of these
+    others = tagged.where("label <> top").groupBy("a").agg(F.min(h - k).alias("reach"))
+    family = stage(tagged.join(others, "a").where((F.col("label") != F.col("top")) | (h >= F.col("reach"))).drop("reach"), "op3-family")
     bound = F.greatest(F.lit(1), h - k, F.when(linked, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
     length = F.greatest(F.lit(0), h - bound + 1).cast("int")
     # lacks, has: sizes of the two parts of D(x), what the leader lacks and what x lacks
     sized = family.select(
         "a", "b", "nb", "label", length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
     ).where("length > 0")
+    sized = stage(sized, "op3-sized")
+    drop(family)
     order = F.slice(F.concat(F.array_sort(F.array_except("hb", "ha")), F.array_sort(F.array_except("ha", "hb"))), F.lit(1), F.col("length"))
     prefix = stage(
         compared(sized, held, order, "e").select("a", "b", "nb", "label", "lacks", "has", F.posexplode("e").alias("at", "e")), "op3-prefix")
+    drop(sized)
     # features that one component alone has in its prefixes bring no pair
     mixed = prefix.groupBy("a", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "e")
-    prefix = stage(prefix.join(mixed, ["a", "e"], "left_semi"), "op3-mixed")
-    x, y = (prefix.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label", "at", "lacks", "has"))) for s in "xy")
+    kept = stage(prefix.join(mixed, ["a", "e"], "left_semi"), "op3-mixed")
+    drop(prefix)
+    x, y = (kept.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label", "at", "lacks", "has"))) for s in "xy")
     # what the differences can share from their first shared feature on, against what similar sets have to share
     rest = (
         "case when atx < lacksx then least(lacksx - atx, lacksy - aty) + least(hasx, hasy) "
         "else least(lacksx + hasx - atx, lacksy + hasy - aty) end")
     needed = f"lacksx + hasx + lacksy + hasy - floor((nbx + nby) * {part} / {whole})"
-    return stage(
+    pairs = stage(
         x.join(y, ["a", "e"]).where("labelx < labely")
         .where(_size_filter("nbx", "nby", plan)).where(f"2 * ({rest}) >= {needed}")
         .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
+    drop(kept)
+    return pairs
 
 
 def _far_pairs(far: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
@@ -331,34 +506,37 @@ def _far_pairs(far: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -
     a pair's first shared feature on, what is left of either has to suffice.
     """
     named = labels.withColumnRenamed("node", "rep")
-    rows = far.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(held, "rep")
-    rows = stage(rows.select("rep", "n", "label", F.explode("h").alias("e")), "op3-far")
-    many = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("e", "df")
+    far = stage(far.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "op3-far")
+    rows = far.join(held, "rep").select("rep", F.col("label").alias("own"), F.explode("h").alias("e"))
+    rows = stage(rows, "op3-far-features")
+    many = stage(rows.groupBy("e").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("e", "df"), "op3-far-many")
     least = F.ceil(F.col("n") * plan.num / plan.den)
-    lists = (
-        rows.join(many, "e").groupBy("rep", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("l"))
-        .withColumn("m", F.size("l").cast("bigint")).where(F.col("m") >= least)
-    )
+    # counted before the features of any set are put together, so sets that drop out cost no more than that
+    mixed = stage(rows.select("rep", "e").join(many, "e"), "op3-far-mixed")
+    drop(rows, many)
+    enough = far.join(mixed.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "rep").where(F.col("m") >= least)
+    lists = mixed.join(enough, "rep").groupBy("rep", "n", "label", "m").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("l"))
     lists = lists.select("rep", "n", "label", "m", F.posexplode(F.slice("l", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("at", "f"))
     prefix = stage(lists.select("rep", "n", "label", "m", "at", "f.e"), "op3-far-prefix")
+    drop(mixed, far)
     mixed = prefix.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("e")
-    prefix = stage(prefix.join(mixed, "e", "left_semi"), "op3-far-mixed")
-    x, y = (prefix.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "label", "m", "at"))) for s in "xy")
-    return (
+    kept = stage(prefix.join(mixed, "e", "left_semi"), "op3-far-kept")
+    drop(prefix)
+    x, y = (kept.select("e", *(F.col(c).alias(c + s) for c in ("rep", "n", "label", "m", "at"))) for s in "xy")
+    pairs = stage(
         x.join(y, "e").where("labelx < labely").where(_size_filter("nx", "ny", plan))
         .where(f"least(mx - atx, my - aty) * {plan.num + plan.den} >= (nx + ny) * {plan.num}")
-        .select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
-    )
+        .select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct(), "op3-far-pairs")
+    drop(kept)
+    return pairs
 
 
-def _members(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
-        F.count(F.lit(1)).alias("d"))
+def _members(feats: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    table = named.join(ids, "label").join(degree, "rep", "left").select(
-        "n", "h1", "h2", "component_id", F.col("label").alias("group"), (F.coalesce("d", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("n_links"))
-    out = feats.select("doc_id", "digest", "n", "h1", "h2").join(stage(table, "op3-table"), ["n", "h1", "h2"], "left")
+    table = stage(named.join(ids, "label").select("n", "h1", "h2", "component_id", F.col("label").alias("group"), F.col("copies").alias("n_equal")), "op3-table")
+    drop(classes, labels)
+    out = feats.select("doc_id", "digest", "n", "h1", "h2").join(table, ["n", "h1", "h2"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), "group", "digest")
+        F.coalesce("n_equal", F.lit(1).cast("bigint")).alias("n_equal"), "group", "digest")
