@@ -418,7 +418,7 @@ def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
     drop(best, few_links)
     labels = components(links, "op3-star")
 
-    # a pair of which one is less alike to the leader than 2 t - 1 (t: the threshold) has none that is linked to it
+    # a set that is less alike to the leader than 2 t - 1 (t: the threshold) is similar to none that is linked to it
     t, likeness = plan.num / plan.den, F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     near = _cross_pairs(star.where(likeness >= 2 * t - 1 - 1e-9), held, labels, plan)
     far = _far_pairs(star.where(~is_link).select(F.col("b").alias("rep"), F.col("nb").alias("n")).distinct(), held, labels, plan)
@@ -446,7 +446,7 @@ def _pruned(groups: DataFrame, name: str) -> DataFrame:
 
 
 def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b, na, nb) of one leader's family, in different components, that may be similar.
+    """Pairs (a, b, na, nb) of one leader's family, one linked to the leader and one in another component, that may be similar.
 
     With h = |D(x)| and k the largest distance at which sets of sizes nx and ny are similar, similar x and y share
     at least (hx + hy - k) / 2 features of D.  Lower bounds of that for any partner of x: hx - k (as hy >= hx - k),
@@ -465,33 +465,35 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     least_partner = F.ceil(F.col("nb") * plan.num / plan.den)
     beyond = F.floor((F.col("na") + least_partner) * part / whole) + 1
     linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
-    # a member of the leader's component has partners in other components only if its h reaches the least h - k of these
+    # a linked member has partners only if its h reaches the least h - k of these; without such members a family has no pair
     others = tagged.where("label <> top").groupBy("a").agg(F.min(h - k).alias("reach"))
-    family = stage(tagged.join(others, "a").where((F.col("label") != F.col("top")) | (h >= F.col("reach"))).drop("reach"), "op3-family")
+    family = tagged.join(others, "a").where((F.col("label") != F.col("top")) | (linked & (h >= F.col("reach")))).drop("reach").withColumn("linked", linked)
+    family = stage(family, "op3-family")
+    mine = family.where("linked").select("a").distinct()
     bound = F.greatest(F.lit(1), h - k, F.when(linked, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
     length = F.greatest(F.lit(0), h - bound + 1).cast("int")
     # lacks, has: sizes of the two parts of D(x), what the leader lacks and what x lacks
-    sized = family.select(
-        "a", "b", "nb", "label", length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
+    sized = family.join(mine, "a", "left_semi").select(
+        "a", "b", "nb", "linked", length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
     ).where("length > 0")
     sized = stage(sized, "op3-sized")
     drop(family)
     order = F.slice(F.concat(F.array_sort(F.array_except("hb", "ha")), F.array_sort(F.array_except("ha", "hb"))), F.lit(1), F.col("length"))
     prefix = stage(
-        compared(sized, held, order, "e").select("a", "b", "nb", "label", "lacks", "has", F.posexplode("e").alias("at", "e")), "op3-prefix")
+        compared(sized, held, order, "e").select("a", "b", "nb", "linked", "lacks", "has", F.posexplode("e").alias("at", "e")), "op3-prefix")
     drop(sized)
-    # features that one component alone has in its prefixes bring no pair
-    mixed = prefix.groupBy("a", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "e")
+    # features that only linked members, or only others, have in their prefixes bring no pair
+    mixed = prefix.groupBy("a", "e").agg(F.min("linked").alias("lo"), F.max("linked").alias("hi")).where("lo <> hi").select("a", "e")
     kept = stage(prefix.join(mixed, ["a", "e"], "left_semi"), "op3-mixed")
     drop(prefix)
-    x, y = (kept.select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "label", "at", "lacks", "has"))) for s in "xy")
+    x, y = (kept.where(side).select("a", "e", *(F.col(c).alias(c + s) for c in ("b", "nb", "at", "lacks", "has"))) for s, side in (("x", "linked"), ("y", "not linked")))
     # what the differences can share from their first shared feature on, against what similar sets have to share
     rest = (
         "case when atx < lacksx then least(lacksx - atx, lacksy - aty) + least(hasx, hasy) "
         "else least(lacksx + hasx - atx, lacksy + hasy - aty) end")
     needed = f"lacksx + hasx + lacksy + hasy - floor((nbx + nby) * {part} / {whole})"
     pairs = stage(
-        x.join(y, ["a", "e"]).where("labelx < labely")
+        x.join(y, ["a", "e"])
         .where(_size_filter("nbx", "nby", plan)).where(f"2 * ({rest}) >= {needed}")
         .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
     drop(kept)
