@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.operators.numbering import parallelism
 
-#: Hashes that one leaf of a digest's tree holds, about.
-LEAVES = 4096
+#: Hashes of a digest that travel as one row, 4 KB.
+BLOCK = 128
 
 
 def long_form(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -102,22 +107,29 @@ def new_only(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
 
 
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of a relation, whatever the order of its rows: sha256 over its rows' sha256 in order.
+    """One digest of a relation, whatever the order of its rows: sha256 over its rows' sha256 in order, at every size.
 
-    A row is hashed as JSON with its nulls, so values can't run into each other.  Up to LEAVES rows are one list; more are
-    put together in a tree by the first digits of their hashes, of a depth that the number of rows decides, so no task
-    holds more than about LEAVES hashes of a leaf or 256 digests of a node.
+    A row is hashed as JSON with its nulls, so values can't run into each other.  Hashes are sorted in ranges and put
+    together to blocks, in parallel; blocks are runs of one order, so they sort as their bytes do.  The last step, as sha256
+    goes from front to back, is one task: 32 bytes for each row pass through it, a batch at a time.
     """
-    hashed = rows.select(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("h"))
-    count, digits = hashed.count(), 0
-    while count > LEAVES * 256 ** (digits // 2):
-        digits += 2
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "").cast("binary"), 256).alias("h")
-    level = hashed.select(F.substring("h", 1, digits).alias("p"), "h").groupBy("p").agg(joined(F.struct("h")))
-    while digits:
-        digits -= 2
-        level = level.groupBy(F.substring("p", 1, digits).alias("q")).agg(joined(F.struct("p", "h"))).withColumnRenamed("q", "p")
-    return level.select(F.col("h").alias("digest"))
+    hashed = rows.select(F.unhex(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)).alias("h"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b"".join(found[i:i + BLOCK]) for i in range(0, len(found), BLOCK)], pa.binary())})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, some = hashlib.sha256(), False
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                state.update(block.hex().encode())
+                some = True
+        yield pa.RecordBatch.from_pydict({"digest": pa.array([state.hexdigest() if some else None], pa.string())})
+
+    runs = hashed.repartitionByRange(parallelism(rows.sparkSession), "h").sortWithinPartitions("h").mapInArrow(blocks, "block binary")
+    return runs.repartition(1).sortWithinPartitions("block").mapInArrow(whole, "digest string").agg(F.max("digest").alias("digest"))
 
 
 def mark_dropped(stored: DataFrame, gone: DataFrame, key: str, status: str = "status") -> DataFrame:

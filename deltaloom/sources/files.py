@@ -41,8 +41,7 @@ def check_bundle(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def manifest_digest(manifest: DataFrame, path: str = "path", sha256: str = "sha256") -> DataFrame:
-    """One digest of a manifest, from its data and not from a file's bytes: a tree of digests, so no task holds more than a
-    256th of it and then 256 rows, level by level for larger ones."""
+    """One digest of a manifest, from its data and not from a file's bytes (`compare.digest`)."""
     from deltaloom.operators.compare import digest
 
     return digest(manifest, [path, sha256])

@@ -35,7 +35,7 @@ def against_sql(spark, tmp_path):
 
 
 #: Part keys on both sides of a million, where made-up names and keys begin.
-PARTS = "select * replace (p_partkey + r * 1000000 as p_partkey) from part, range(4) x(r)"
+PARTS = "select part.* replace (p_partkey + r * 1000000 as p_partkey) from part, range(4) x(r)"
 
 
 def test_existing_keys_beyond_a_million(against_sql):
@@ -43,8 +43,18 @@ def test_existing_keys_beyond_a_million(against_sql):
 
 
 def test_touched_objects_beyond_a_million(against_sql):
-    against_sql("touched_objects", {"part": PARTS, "lineitem": "select * replace (l_partkey + r * 1000000 as l_partkey, l_orderkey + r * 1000000 as l_orderkey) from lineitem, range(3) x(r)"})
+    against_sql("touched_objects", {"part": PARTS, "lineitem": "select lineitem.* replace (l_partkey + r * 1000000 as l_partkey, l_orderkey + r * 1000000 as l_orderkey) from lineitem, range(3) x(r)"})
 
 
 def test_followed_names_beyond_a_million(against_sql):
     against_sql("followed_names", {"part": PARTS})
+
+
+def test_relation_digest_of_many_rows(against_sql):
+    # equal rows stand in several blocks
+    many = "select customer.* replace (c_custkey + r % 50 * 1000000 as c_custkey) from customer, range(100) x(r)"
+    against_sql("relation_digest", {"customer": f"{many} union all select customer.* from customer, range(300) where c_custkey = 1"})
+
+
+def test_relation_digest_of_no_rows(against_sql):
+    against_sql("relation_digest", {"customer": "select * from customer where false"})
