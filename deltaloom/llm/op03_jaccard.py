@@ -20,10 +20,11 @@ more share.  Signatures shared by exactly the same classes count as one group.
 
 From groups to components.  The sets of a group are compared with its most central member, the leader (linear in the
 group), which links most of a family of copies.  Small groups that still mix components are compared pair by pair.
-In large ones, let D(x) be the symmetric difference of x and the leader.  The distance of x and y
-is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members that aren't both linked to the leader can be similar only
+A family has many large groups, whose leaders are linked to one of them, their chief: it stands for all of these, so a
+member is told once.  Let D(x) be the symmetric difference of x and the chief.  The distance of x and y
+is |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so two members of different components can be similar only
 if their differences share a known number of features: a prefix-filtered join on the differences, features that
-the leader lacks first, finds those pairs without pairing the members of a group.  That serves members near the leader.
+the chief lacks first, finds those pairs without pairing the members of a group.  That serves members near the leader.
 Unlike sets that share a passage share signatures too, and their differences are as large as they are.  1 - similarity is
 a metric: with the threshold t, a set similar to one below 2 t - 1 of its leader isn't linked to the leader either.  So all
 members that aren't linked to one of their leaders, each once and not once for each leader, are joined on prefixes of the
@@ -47,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import drop, free_name, stage, with_position
+from deltaloom.llm.common import MAX_BITS, bitmap, drop, free_name, has_bit, stage, with_position
 from deltaloom.llm.components import components
 from deltaloom.llm.textvec import Words, chunks, mix
 
@@ -271,13 +272,24 @@ def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[emit]), pa.array(cls[emit])], names=["sig", "cls"])
 
 
+def among(rows: DataFrame, key: Column, wanted: DataFrame, name: str, inside: bool = True) -> DataFrame:
+    """Rows whose key, a hash, may be one of column `name` of `wanted`: all that are, and one in 16 of the others (more beyond
+    MAX_BITS / 16 keys), so that a join moves few rows that it drops.  With inside=False the rest."""
+    bits = 1 << 10
+    while bits < min(MAX_BITS, 16 * wanted.count()):
+        bits *= 2
+    is_in = has_bit(bitmap(wanted.select(F.pmod(F.col(name), F.lit(bits)).alias("s")), "s", bits), F.pmod(key, F.lit(bits)))
+    return rows.where(is_in if inside else ~is_in)
+
+
 def sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     """rep and its shingle hashes, from whole texts; wanted: doc_id, digest, rep, n, h1, h2.
 
     Representatives without doc_id are met by the digest of their text, one row of each.
     """
     columns = ["rep", "text", "n", "h1", "h2"]
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select(*columns)
+    some = among(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("key")), "key")
+    rows = some.join(wanted, "doc_id").select(*columns)
     named = docs.where("doc_id is null").select("text", F.xxhash64("text").alias("digest"))
     rows = rows.unionByName(named.dropDuplicates(["digest"]).join(wanted.where("doc_id is null"), "digest").select(*columns))
 
@@ -341,14 +353,19 @@ def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
     keys = stage(named(first.unionByName(empty)), "op3-keep")
     again = stage(named(found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")), "op3-repeated")
+    gone = stage(named(found).distinct().join(
+        keys.select(F.col(id_).alias("i"), F.col(digest).alias("d")), F.col(id_).eqNullSafe(F.col("i")) & (F.col(digest) == F.col("d")), "left_anti"
+    ).select(F.xxhash64(id_, digest).alias("key")), "op3-gone")
     drop(found)
-    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(digest))
-    kept = docs.join(keys, same, "left_semi")
+    same = lambda df: df["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(df["text"]) == F.col(digest))
+    # whole rows move only where they may be among those that go
+    key = F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"]))
+    kept = among(docs, key, gone, "key", inside=False).union(among(docs, key, gone, "key").join(keys, same(docs), "left_semi"))
     if again.isEmpty():
         return kept
-    one = kept.join(again, same, "left_semi")
+    one = kept.join(again, same(kept), "left_semi")
     one = one.groupBy("doc_id", F.xxhash64("text").alias(digest)).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(id_)).select(f"{id_}.*")
-    return kept.join(again, same, "left_anti").unionByName(one)
+    return kept.join(again, same(kept), "left_anti").unionByName(one)
 
 
 def groups_of(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -445,39 +462,70 @@ def _pruned(groups: DataFrame, name: str) -> DataFrame:
     return groups
 
 
+def _families(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+    """a, b, na, nb, common, ours: leaders' members that are in their component (linked to one of its leaders: ours) or
+    in another, told once for each chief `a` instead of once for each leader.
+
+    A family of near copies has many leaders, one for each group, and each of them meets most of the family.  A leader's
+    chief is the one with the most members among itself and the leaders it is linked to, so it lies in the same component and near.
+    Two members of one leader are members of its chief too, and all bounds of `_cross_pairs` hold for any set that both are held against.
+    """
+    by_rep = labels.withColumnRenamed("node", "rep")
+    own = star.join(by_rep.withColumnRenamed("rep", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    lead = by_rep.withColumnRenamed("rep", "a").withColumnRenamed("label", "top")
+    linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
+    tagged = stage(own.join(lead, "a", "left").withColumn("top", F.coalesce("top", "a")).select(
+        "a", "b", "na", "nb", "common", linked.alias("ours"), (F.col("label") != F.col("top")).alias("other")), "op3-tagged")
+    leaders = stage(tagged.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.max("other").alias("other")), "op3-leaders")
+    above = tagged.where("ours").select("a", F.col("b").alias("of")).join(leaders, "a").join(leaders.select(F.col("a").alias("of")), "of", "left_semi")
+    chiefs = above.select("of", "c", "a", "na").unionByName(leaders.select(F.col("a").alias("of"), "c", "a", "na")).groupBy("of").agg(
+        F.max(F.struct("c", "a", "na")).alias("m")).select("of", F.col("m.a").alias("a"), F.col("m.na").alias("na"))
+    chiefs = stage(chiefs, "op3-chiefs")
+    open_ = chiefs.join(leaders.where("other").select(F.col("a").alias("of")), "of", "left_semi").select("a").distinct()
+    open_ = chiefs.join(open_, "a", "left_semi")
+    told = tagged.where("ours or other").select(F.col("a").alias("of"), "b", "nb", "ours").join(open_, "of").where("a <> b")
+    told = told.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ours").alias("ours"))
+    told = stage(told.join(tagged.select("a", "b", "common"), ["a", "b"], "left"), "op3-told")
+    drop(tagged, leaders, chiefs)
+    todo = told.where("common is null").drop("common")
+    if todo.isEmpty():
+        return told
+    todo = stage(todo, "op3-told-todo")
+    out = stage(told.where("common is not null").select(*todo.columns, "common").unionByName(
+        compared(todo, held, F.size(F.array_intersect("ha", "hb")), "common")), "op3-told-all")
+    drop(told, todo)
+    return out
+
+
 def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b, na, nb) of one leader's family, one linked to the leader and one in another component, that may be similar.
+    """Pairs (a, b, na, nb) of one chief's family, one in the chief's component and one in another, that may be similar.
 
     With h = |D(x)| and k the largest distance at which sets of sizes nx and ny are similar, similar x and y share
     at least (hx + hy - k) / 2 features of D.  Lower bounds of that for any partner of x: hx - k (as hy >= hx - k),
-    and, where x is linked to the leader and so its partner is not, with hy above the leader's distance.  x then
+    and, where x is in the chief's component and so its partner is not, with hy above the chief's distance.  x then
     needs the first hx - bound + 1 features of D(x), in an order that all members share.  The places of a shared
     feature bound what the two differences can share from there on; a pair's first shared feature passes that bound.
+    A member of another component that is similar to the chief itself is a pair with it.
     """
-    by_rep = labels.withColumnRenamed("node", "rep")
-    own = star.join(by_rep.withColumnRenamed("rep", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    lead = by_rep.withColumnRenamed("rep", "a").withColumnRenamed("label", "top")
-    tagged = own.join(lead, "a", "left").withColumn("top", F.coalesce("top", "a"))
+    told = _families(star, held, labels, plan)
     part, whole = plan.den - plan.num, plan.den + plan.num
     partner = F.floor(F.col("nb") * plan.den / plan.num)  # largest size of a similar set
     h = F.col("na") + F.col("nb") - 2 * F.col("common")
     k = F.floor((F.col("nb") + partner) * part / whole)
     least_partner = F.ceil(F.col("nb") * plan.num / plan.den)
     beyond = F.floor((F.col("na") + least_partner) * part / whole) + 1
-    linked = plan.similar(F.col("common"), F.col("na"), F.col("nb"))
-    # a linked member has partners only if its h reaches the least h - k of these; without such members a family has no pair
-    others = tagged.where("label <> top").groupBy("a").agg(F.min(h - k).alias("reach"))
-    family = tagged.join(others, "a").where((F.col("label") != F.col("top")) | (linked & (h >= F.col("reach")))).drop("reach").withColumn("linked", linked)
-    family = stage(family, "op3-family")
-    mine = family.where("linked").select("a").distinct()
-    bound = F.greatest(F.lit(1), h - k, F.when(linked, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
+    ours, alike = F.col("ours"), plan.similar(F.col("common"), F.col("na"), F.col("nb"))
+    # a member has partners only if its h reaches the least h - k of the other side; a family of one side has no pair
+    ends = told.where(ours | ~alike).groupBy("a").agg(F.min(F.when(~ours, h - k)).alias("reach"), F.max(F.when(ours, h)).alias("most"))
+    bound = F.greatest(F.lit(1), h - k, F.when(ours, F.ceil((h + beyond - k) / 2)).otherwise(F.lit(1)))
     length = F.greatest(F.lit(0), h - bound + 1).cast("int")
-    # lacks, has: sizes of the two parts of D(x), what the leader lacks and what x lacks
-    sized = family.join(mine, "a", "left_semi").select(
-        "a", "b", "nb", "linked", length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
+    # lacks, has: sizes of the two parts of D(x), what the chief lacks and what x lacks
+    sized = told.join(ends, "a").where((ours & (h >= F.col("reach"))) | (~ours & ~alike & (h - k <= F.col("most")))).select(
+        "a", "b", "nb", ours.alias("linked"), length.alias("length"), (F.col("nb") - F.col("common")).alias("lacks"), (F.col("na") - F.col("common")).alias("has")
     ).where("length > 0")
     sized = stage(sized, "op3-sized")
-    drop(family)
+    direct = stage(told.where(~ours & alike).select("a", "b", "na", "nb"), "op3-direct")
+    drop(told)
     order = F.slice(F.concat(F.array_sort(F.array_except("hb", "ha")), F.array_sort(F.array_except("ha", "hb"))), F.lit(1), F.col("length"))
     prefix = stage(
         compared(sized, held, order, "e").select("a", "b", "nb", "linked", "lacks", "has", F.posexplode("e").alias("at", "e")), "op3-prefix")
@@ -495,8 +543,8 @@ def _cross_pairs(star: DataFrame, held: DataFrame, labels: DataFrame, plan: Plan
     pairs = stage(
         x.join(y, ["a", "e"])
         .where(_size_filter("nbx", "nby", plan)).where(f"2 * ({rest}) >= {needed}")
-        .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).distinct(), "op3-pairs")
-    drop(kept)
+        .select(F.col("bx").alias("a"), F.col("by").alias("b"), F.col("nbx").alias("na"), F.col("nby").alias("nb")).unionByName(direct).distinct(), "op3-pairs")
+    drop(kept, direct)
     return pairs
 
 
