@@ -156,12 +156,17 @@ def _recover_part(part: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, again)
 
 
+def recovered(left: Column, right: Column) -> Column:
+    """struct<plus, minus, done> of two arrays of distinct digests by larger sketches, one for each part of the digests:
+    the work grows with their number and not with its square."""
+    add = lambda parts, name: F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, r: n + r[name]).alias(name)
+    return let(F.transform(_dealt(left, right), _recover_part), lambda parts: F.struct(
+        add(parts, "plus"), add(parts, "minus"), F.forall(parts, lambda r: r["done"]).alias("done")))
+
+
 def recover_in_row(pairs: DataFrame) -> DataFrame:
-    """id, plus, minus, done of pairs (id, left, right) by larger sketches inside the row, one for each part of the
-    digests: its work grows with their number and not with its square."""
-    got = pairs.withColumn("_p", F.transform(_dealt(F.col("left"), F.col("right")), _recover_part))
-    add = lambda name: F.aggregate("_p", F.lit(0).cast("bigint"), lambda n, r: n + r[name])
-    return got.select("id", add("plus").alias("plus"), add("minus").alias("minus"), F.forall("_p", lambda r: r["done"]).alias("done"))
+    """id, plus, minus, done of pairs (id, left, right), by sketches inside the row."""
+    return pairs.withColumn("_p", recovered(F.col("left"), F.col("right"))).select("id", "_p.*")
 
 
 def recover(pairs: DataFrame, attempt: int = 1) -> DataFrame:
@@ -278,28 +283,32 @@ def compare(rows: DataFrame, versions: dict[str, tuple[str, str]], cells: int =
     out = made.withColumns({
         f"_p_{name}": peel(difference(F.col(f"_s_{a}"), F.col(f"_s_{b}")), F.lit(cells), F.lit(0)) for name, (a, b) in versions.items()})
     keep = [c for c in rows.columns if c not in sides and not c.startswith("_s_")]
-    held = stage(out.select(
+    small = {n: F.size(a) + F.size(b) <= IN_ROW for n, (a, b) in versions.items()}
+    tried = out.withColumns({f"_q_{n}": F.when(
+        F.col(f"_p_{n}.done"), F.struct(F.size(f"_p_{n}.plus").cast("bigint").alias("plus"), F.size(f"_p_{n}.minus").cast("bigint").alias("minus"), F.lit(True).alias("done"))
+    ).when(small[n], recovered(F.col(a), F.col(b))) for n, (a, b) in versions.items()})
+    done = {n: F.coalesce(F.col(f"_q_{n}.done"), F.lit(False)) for n in versions}
+    held = stage(tried.select(
         *keep, *[F.size(s).alias(f"n_{s}") for s in sides],
-        *[F.when(F.col(f"_p_{n}.done"), F.size(f"_p_{n}.plus")).cast("bigint").alias(f"{n}_plus") for n in versions],
-        *[F.when(F.col(f"_p_{n}.done"), F.size(f"_p_{n}.minus")).cast("bigint").alias(f"{n}_minus") for n in versions],
-        *[F.when(~F.col(f"_p_{n}.done"), F.struct(F.col(a).alias("left"), F.col(b).alias("right"))).alias(f"_r_{n}") for n, (a, b) in versions.items()],
+        *[F.when(done[n], F.col(f"_q_{n}.{side}")).alias(f"{n}_{side}") for n in versions for side in ("plus", "minus")],
+        *[F.when(~done[n], F.struct(F.col(a).alias("left"), F.col(b).alias("right"))).alias(f"_r_{n}") for n, (a, b) in versions.items()],
     ), "op10-compared")
-    failed = None
+    hard = None
     for i, n in enumerate(versions):
         number = F.col("_uid") * len(versions) + i
         part = held.where(F.col(f"_r_{n}").isNotNull()).select(number.alias("id"), f"_r_{n}.left", f"_r_{n}.right")
-        failed = part if failed is None else failed.unionByName(part)
-    small = F.size("left") + F.size("right") <= IN_ROW
-    tried = stage(recover_in_row(failed.where(small)), "op10-in-row")
-    hard = failed.where(~small).unionByName(failed.join(tried.where("not done").select("id"), "id", "left_semi"))
-    more = tried.where("done").select("id", "plus", "minus")
+        hard = part if hard is None else hard.unionByName(part)
     if not hard.isEmpty():
-        more = more.unionByName(stage(recover(hard), "op10-recovered"))
-    for i, n in enumerate(versions):
-        mine = more.where(F.col("id") % len(versions) == i).select(
-            F.floor(F.col("id") / len(versions)).alias("_uid"), F.col("plus").alias("_plus"), F.col("minus").alias("_minus"))
-        held = held.join(mine, "_uid", "left").withColumns({
-            f"{n}_plus": F.coalesce(f"{n}_plus", "_plus"), f"{n}_minus": F.coalesce(f"{n}_minus", "_minus")}).drop("_plus", "_minus")
+        more = stage(recover(hard), "op10-recovered")
+        # only rows with such a pair move
+        failed = F.coalesce(*[F.when(F.col(f"_r_{n}").isNotNull(), True) for n in versions], F.lit(False))
+        rest, whole = held.where(failed), held.where(~failed)
+        for i, n in enumerate(versions):
+            mine = more.where(F.col("id") % len(versions) == i).select(
+                F.floor(F.col("id") / len(versions)).alias("_uid"), F.col("plus").alias("_plus"), F.col("minus").alias("_minus"))
+            rest = rest.join(mine, "_uid", "left").withColumns({
+                f"{n}_plus": F.coalesce(f"{n}_plus", "_plus"), f"{n}_minus": F.coalesce(f"{n}_minus", "_minus")}).drop("_plus", "_minus")
+        held = whole.unionByName(rest)
     return held.drop(*[f"_r_{n}" for n in versions])
 
 

@@ -52,3 +52,17 @@ def test_recover_in_row_of_many(spark):
         "id", *[O.paragraphs(F.concat_ws("\n", F.transform("i", lambda i: F.concat(F.lit("w"), (i + shift).cast("string"))))).alias(c) for c, shift in (("left", 0), ("right", 150))])
     got = {r["id"]: (r["plus"], r["minus"], r["done"]) for r in O.recover_in_row(rows).collect()}
     assert got == {k: (n := min(150, 600 * k + 1), n, True) for k in range(6)}
+
+
+def test_only_hard_pairs_are_joined(spark, monkeypatch):
+    """Rows move again only if one of their pairs has more digests than are recovered in a row."""
+    digests = lambda c, low, high: O.paragraphs(F.concat_ws("\n", F.transform(F.sequence(F.lit(low), F.col("_uid") * high + low), lambda i: F.concat(F.lit("w"), i.cast("string"))))).alias(c)
+    rows = spark.range(4).select(F.col("id").alias("_uid")).select("_uid", digests("a", 1, 150), digests("b", 100, 150))
+    want = {r["_uid"]: (len(set(r["a"]) - set(r["b"])), len(set(r["b"]) - set(r["a"]))) for r in rows.collect()}
+    for limit, joined in ((O.IN_ROW, False), (400, True)):
+        monkeypatch.setattr(O, "IN_ROW", limit)
+        out = O.compare(rows, {"x": ("a", "b"), "y": ("b", "a")})
+        assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == joined
+        got = {r["_uid"]: r for r in out.collect()}
+        assert {u: (r["x_plus"], r["x_minus"]) for u, r in got.items()} == want
+        assert {u: (r["y_minus"], r["y_plus"]) for u, r in got.items()} == want
